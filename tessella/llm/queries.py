@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embedding_dedup, ngram_join, packing, token_counts
+from . import bpe_codec, embedding_dedup, ngram_join, packing, quality_rules, token_counts
 
 #: The vocabulary file of the queries, by its name in public_tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +37,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -50,10 +55,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
+        "op6_quality_rules": op6_quality_rules,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_quality_rules": quality_rules.SQL,
+    }
