@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embedding_dedup, ngram_join, packing, quality_rules, token_counts
+from . import bpe_codec, embedding_dedup, ngram_join, packing, quality_classifier, quality_rules, token_counts
 
 #: The vocabulary file of the queries, by its name in public_tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_quality_classifier": op2_quality_classifier,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,

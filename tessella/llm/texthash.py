@@ -18,8 +18,10 @@ _MASK = (1 << 64) - 1
 
 
 @lru_cache(1)
-def _is_word() -> np.ndarray:
-    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
+def _classes() -> np.ndarray:
+    """Of each code point: 1 for a letter, digit or "_", 0 for white space and U+0000, else 2."""
+    of = lambda c: 1 if c.isalnum() or c == "_" else 0 if c.isspace() or c == "\0" else 2
+    return np.fromiter((of(chr(i)) for i in range(0x110000)), np.int8, 0x110000)
 
 
 @lru_cache(8)
@@ -54,13 +56,21 @@ def chunks(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, li
         yield first, part
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and offsets: the words of text i are at offsets[i] : offsets[i + 1]."""
+def word_hashes(texts: list[str], symbols: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and offsets: the words of text i are at offsets[i] : offsets[i + 1].
+
+    symbols: runs of other characters than white space count as words, too.
+    """
     joined = "\0".join(t.replace("\0", " ") for t in texts) + "\0"
     cp = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = _is_word()[cp]
-    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
-    starts, ends = edge[::2], edge[1::2]  # the last character is no word character
+    kind = _classes()[cp]
+    if not symbols:
+        kind = kind & 1
+    word = kind > 0
+    edge = np.flatnonzero(np.diff(kind, prepend=np.int8(0), append=np.int8(0)))
+    starts, ends = edge[:-1], edge[1:]  # runs of one kind; the last character, U+0000, has kind 0
+    inside = word[starts]
+    starts, ends = starts[inside], ends[inside]
     offsets = np.zeros(len(texts) + 1, np.int64)
     if not len(starts):
         return np.zeros(0, np.uint64), offsets
