@@ -3,11 +3,12 @@
 Every text is the set of its n-word shingles. A run of the join sends each set down a path: at every node the
 path draws coordinates of the sets' minhashes (a minhash is a token that sets of Jaccard similarity s share with
 probability s) and splits the node's sets by the token drawn, until a bucket is small enough to compare all its
-pairs. Runs are repeated until a pair at the threshold is missed with a probability below 1 - recall. All pairs
-that a bucket brings together are verified on the whole shingle sets, so no false link is returned.
+pairs. Runs are repeated until a pair at the threshold is missed with a probability below 1 - recall.
 
-Texts with the same words in the same order are joined first and carried as one weighted item. Buckets that paths
-cannot split (groups of near copies) are compared in blocks, see bucketjoin.
+Buckets are compared by minhashes, which joins their items into candidate groups. All pairs of a group are then
+verified once on the whole shingle sets, so no false link is returned, and links between any items of a group are
+found. Texts with the same words in the same order are joined first and carried as one weighted item. Large groups
+(of near copies) are compared in blocks, see bucketjoin.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucketjoin import compare, distinct_buckets
+from .bucketjoin import compare, distinct_buckets, link_in_blocks
 from .common import join_small, materialize
 from .components import connected_components
 from .texthash import chunks, mix, sequence_keys, shingles, word_hashes
 
 #: Minhashes of a text: what paths draw from.
 COORDINATES = 48
+#: Share of equal minhashes that makes a pair a candidate; at a similarity of 0.8 it is missed by more than 5 standard deviations.
+CANDIDATE = 0.5
 #: Times in 4 that a node draws a second coordinate: 1.25 a node, the inverse of the threshold 0.8.
 SECOND = 1
 
@@ -111,6 +114,21 @@ def jaccard_matches(threshold: Fraction):
     return matches
 
 
+def _minhash_matches(left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    x = np.stack([np.frombuffer(d, np.int32) for d in left])
+    equal = np.zeros((len(x), len(x)), np.int16)
+    for k in range(COORDINATES):
+        equal += x[:, k, None] == x[None, :, k]
+    return np.nonzero(np.triu(equal >= CANDIDATE * COORDINATES, 1))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, weight, data) with the minhashes as bytes."""
+    for batch in batches:
+        data = [x.values.to_numpy().tobytes() for x in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(np.ones(batch.num_rows, np.int64)), pa.array(data, pa.binary())], names=["id", "weight", "data"])
+
+
 def _drawn(path, level: int):
     """Coordinates that the node at path draws: one, and a second one SECOND times in 4."""
     pick = lambda salt: F.pmod(F.xxhash64(path, F.lit(level), F.lit(salt)), F.lit(COORDINATES)).cast("int")
@@ -133,7 +151,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links with nothing, so that it is its own class. Ids must be unique and not null; rows with a null id are left
     out. Ties need no rule, the result does not depend on any order. Other columns of docs are not looked at.
 
-    limit: buckets with more items are split further, down to max_depth nodes; recall: see repetitions.
+    limit: buckets with more items are split further, down to max_depth nodes; those still larger (items that share
+    all minhashes drawn) are compared in blocks. recall: see repetitions.
     """
     exact = Fraction(threshold).limit_denominator(1000)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -163,9 +182,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = final[0]
     for more in final[1:]:
         members = members.union(more)
-    members = distinct_buckets(members)
+    met = distinct_buckets(members)
+    near = link_in_blocks(met, sigs.mapInArrow(_packed, "id long, weight long, data binary"), _minhash_matches)
+    groups = connected_components(near).select(F.col("component").alias("bucket"), F.col("node").alias("id"))
+    sized = materialize(groups.groupBy("bucket").agg(F.count("*").alias("n")), "sized")
+    members = materialize(groups.join(sized, "bucket"), "members")
 
-    needed = materialize(members.select("id").distinct(), "needed")
+    needed = members.select("id")
     sets = join_small(source, needed, "id", "left_semi").mapInArrow(lambda it: _set_columns(it, n), "id long, data binary")
     payload = sets.join(items.select(F.col("rep").alias("id"), "weight"), "id")
     found = materialize(compare(members, payload, jaccard_matches(exact)), "found")
