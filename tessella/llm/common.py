@@ -47,7 +47,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, ids: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(left: DataFrame, ids: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join left with a materialized narrow table; the table is broadcast only if its counted rows are within limit."""
     small = ids.limit(limit + 1).count() <= limit
     return left.join(F.broadcast(ids) if small else ids, on, how)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embedding_dedup, ngram_join, packing, quality_classifier, quality_rules, token_counts
+from . import bpe_codec, embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts
 
 #: The vocabulary file of the queries, by its name in public_tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -46,6 +50,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -58,9 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
+        "op7_sharding": op7_sharding,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op10_bpe_codec": op10_bpe_codec,
     }
