@@ -55,3 +55,13 @@ def join_small(left: DataFrame, ids: DataFrame, on: str | list[str], how: str, l
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def computed_once(df: DataFrame, condition: Column) -> DataFrame:
+    """df where condition holds, with the columns that df computes evaluated before the filter and only once.
+
+    Else the optimizer pushes the filter below them with a copy of their expressions, which a lambda function then
+    evaluates for each element.
+    """
+    barrier = "__barrier"
+    return df.withColumn(barrier, F.monotonically_increasing_id()).where(condition & (F.col(barrier) >= 0)).drop(barrier)

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_small, materialize, text_or_empty
+from .common import BROADCAST_ROWS, computed_once, join_small, materialize, text_or_empty
 
 #: Buckets of the rarity table.
 BUCKETS = 1 << 14
@@ -37,7 +37,7 @@ def _tokens(w: Column, n: int) -> Column:
 def _lines(docs: DataFrame, n: int) -> DataFrame:
     """(doc, line, tokens) of the lines with n words or more."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    worded = lines.select("doc", "line", _words(F.col("content")).alias("w")).where(F.size("w") >= n)
+    worded = computed_once(lines.select("doc", "line", _words(F.col("content")).alias("w")), F.size("w") >= n)
     return worded.select("doc", "line", _tokens(F.col("w"), n).alias("tokens"))
 
 
@@ -47,7 +47,8 @@ def _bucket(token: Column) -> Column:
 
 def _rarity(lines: DataFrame) -> Column:
     """A literal array: of each bucket a number that grows with the tokens counted in it, from 0 to 63."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
+    # explode_outer, as explode would add a filter on the tokens and with it a second evaluation of them
+    counts = lines.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
     tiers = {r["b"]: min(63, r["n"].bit_length() * 2 + (r["n"] >> max(0, r["n"].bit_length() - 2) & 1)) for r in counts.collect()}
     return F.expr("cast(split('" + ",".join(str(tiers.get(b, 0)) for b in range(BUCKETS)) + "', ',') as array<int>)")
 

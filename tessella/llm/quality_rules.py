@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import computed_once
+
 #: White space between words, and the symbols that are counted.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 #: Rows of the sample, and characters of a text that the sample looks at.
@@ -137,7 +139,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     passes = F.lit(True)
     for rule in order_rules(docs, rules, text_col):
         passes = passes & ~_rejects(rule, "__q_")
-    return featured.where(passes).select(*docs.columns)
+    return computed_once(featured, passes).select(*docs.columns)
 
 
 #: The features and rules in DuckDB SQL, over documents(doc_id, text).
