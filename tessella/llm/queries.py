@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts
+from . import bpe_codec, embedding_dedup, html_text, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts
 
 #: The vocabulary file of the queries, by its name in public_tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_sharding": op7_sharding,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_html_extraction": op9_html_extraction,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
