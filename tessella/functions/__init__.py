@@ -1 +1 @@
-""""""
+"""Functions of the algebra and codecs."""

@@ -1 +1 @@
-""""""
+"""Operators on tables, matrices, graphs and ranges."""

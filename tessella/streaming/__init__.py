@@ -1 +1 @@
-""""""
+"""Incremental aggregation with Structured Streaming."""
