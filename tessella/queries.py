@@ -209,7 +209,7 @@ def dedup_keys(spark, sf_dir):
 # --- bins, covariance, matrices
 
 
-@query("SELECT t, t - t % 60000 + CASE WHEN t % 60000 >= 30000 THEN 60000 ELSE 0 END AS bin_60, t - t % 120000 + CASE WHEN t % 120000 >= 60000 THEN 120000 ELSE 0 END AS bin_120 FROM (SELECT epoch_ms(ts) AS t FROM events)")
+@query("SELECT t, t - t % 60000 + CASE WHEN t % 60000 >= 30000 THEN 60000 ELSE 0 END AS bin_60, t - t % 120000 + CASE WHEN t % 120000 >= 60000 THEN 120000 ELSE 0 END AS bin_120 FROM (SELECT (epoch_us(ts) // 1000) AS t FROM events)")
 def time_bins(spark, sf_dir):
     t = _read(spark, sf_dir, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     return t.select("t", binned(F.col("t"), 60_000).alias("bin_60"), binned(F.col("t"), 120_000).alias("bin_120"))
@@ -218,7 +218,7 @@ def time_bins(spark, sf_dir):
 def _covariance_sql(size: int, upper: bool, names: tuple[str, str, str], digits: int = 3) -> str:
     a, b, v = names
     return f"""
-WITH e AS (SELECT epoch_ms(ts) AS t0, event_type AS c, value AS v, user_id % 2 AS s FROM events),
+WITH e AS (SELECT (epoch_us(ts) // 1000) AS t0, event_type AS c, value AS v, user_id % 2 AS s FROM events),
 b AS (SELECT t0 - t0 % {size} + CASE WHEN t0 % {size} >= {size // 2} THEN {size} ELSE 0 END AS t, c, s, avg(v) AS v FROM e GROUP BY ALL),
 x AS (SELECT l.t, l.c, l.v - r.v AS v FROM b l JOIN b r ON l.t = r.t AND l.c = r.c AND l.s = 0 AND r.s = 1),
 u AS (SELECT t, c, v - avg(v) OVER (PARTITION BY c) AS v FROM x),
