@@ -178,3 +178,14 @@ def test_plan_tools(spark, tmp_path):
     stored = plan.bind({"a": table([("x", 1)]), "b": table([("x", 2)])}).store("stored_sums").frame()
     assert [tuple(r) for r in stored.collect()] == [("x", 3)]
     assert rows(table([("x", 1), ("x", 1)]).dedup_keys()) == [("x", 1)]
+
+
+def test_groups_of_actions(spark):
+    from tessella.plans.schedule import run_groups
+
+    done = []
+    act = lambda x: lambda: done.append(x) or spark.range(x).count()
+    assert run_groups(spark, [[act(1), act(2)], [act(3)]]) == [[1, 2], [3]] and done[-1] == 3
+    with pytest.raises(ZeroDivisionError):
+        run_groups(spark, [[lambda: 1 / 0], [act(9)]])
+    assert 9 not in done
