@@ -28,29 +28,48 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}_]+"), "")
 
 
-def _tokens(w: Column, n: int) -> Column:
-    """Hashes of the distinct n-word shingles of the array w, which must be a column with n words or more."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
-    return F.array_distinct(hashes)
+def _shingle(hashes: list[Column]) -> Column:
+    """The hash of a shingle from those of its words: of all but the last, and of the last."""
+    out = hashes[0]
+    for h in hashes[1:]:
+        out = F.xxhash64(out, h)
+    return out
+
+
+def _tokens(hashes: Column, n: int) -> Column:
+    """Hashes of the distinct n-word shingles, from the array of the words' hashes."""
+    out = hashes
+    for k in range(1, n):
+        size = F.size(hashes) - k
+        out = F.zip_with(F.slice(out, F.lit(1), size), F.slice(hashes, F.lit(k + 1), size), lambda a, h: F.xxhash64(a, h))
+    return F.array_distinct(out)
+
+
+def _worded(docs: DataFrame, n: int) -> DataFrame:
+    """(doc, line, w) of the lines with n words or more."""
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    return computed_once(lines.select("doc", "line", _words(F.col("content")).alias("w")), F.size("w") >= n)
 
 
 def _lines(docs: DataFrame, n: int) -> DataFrame:
     """(doc, line, tokens) of the lines with n words or more."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    worded = computed_once(lines.select("doc", "line", _words(F.col("content")).alias("w")), F.size("w") >= n)
-    return worded.select("doc", "line", _tokens(F.col("w"), n).alias("tokens"))
+    hashed = _worded(docs, n).select("doc", "line", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    return hashed.select("doc", "line", _tokens(F.col("h"), n).alias("tokens"))
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+    return token.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """A literal array: of each bucket a number that grows with the tokens counted in it, from 0 to 63."""
-    # explode_outer, as explode would add a filter on the tokens and with it a second evaluation of them
-    counts = lines.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
-    tiers = {r["b"]: min(63, r["n"].bit_length() * 2 + (r["n"] >> max(0, r["n"].bit_length() - 2) & 1)) for r in counts.collect()}
-    return F.expr("cast(split('" + ",".join(str(tiers.get(b, 0)) for b in range(BUCKETS)) + "', ',') as array<int>)")
+def _rarity(docs: DataFrame, n: int) -> Column:
+    """A literal array: of each bucket 0 if its tokens are as rare as most, else a number that grows with their count."""
+    # explode_outer, as explode would add a filter and with it a second evaluation of the words
+    places = _worded(docs, n).select("w", F.explode_outer(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
+    token = _shingle([F.xxhash64(F.get("w", F.col("i") + k)) for k in range(n)])
+    counts = {r["b"]: r["n"] for r in places.groupBy(_bucket(token).alias("b")).agg(F.count("*").alias("n")).collect()}
+    usual = sorted(counts.get(b, 0) for b in range(BUCKETS))[BUCKETS // 2]
+    tier = lambda c: 0 if c <= 2 * usual + 8 else 2 * c.bit_length() + (c >> (c.bit_length() - 2) & 1)
+    return F.expr("cast(split('" + ",".join(str(tier(counts.get(b, 0))) for b in range(BUCKETS)) + "', ',') as array<int>)")
 
 
 def _candidate(a: str, b: str, t: Fraction) -> Column:
@@ -84,18 +103,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = Fraction(threshold).limit_denominator(1000)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     lines = _lines(source, n)
-    rarity = _rarity(lines)
-    ranked = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(rarity, _bucket(x)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    rarity = _rarity(source, n)
     length = F.size("tokens")
-    prefix = length - F.ceil(length * t.numerator / t.denominator).cast("int") + 1
+    lines = lines.select("doc", "line", "tokens", F.sort_array("tokens").alias("sorted"))
+    ranked = F.transform(F.sort_array(F.transform("tokens", lambda x: F.struct(F.get(rarity, _bucket(x)).alias("tier"), x.alias("x")))), lambda s: s["x"])
+    ranked = F.when(F.exists("tokens", lambda x: F.get(rarity, _bucket(x)) > 0), ranked).otherwise(F.col("sorted"))
+    prefix = F.slice(ranked, F.lit(1), length - F.ceil(length * t.numerator / t.denominator).cast("int") + 1)
+    prefix = F.transform(prefix, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))  # for joining only
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))))
-    key = F.xxhash64(F.sort_array("tokens"))
-    digests = lines.select("doc", "line", key.alias("key"), length.alias("n"), parity.alias("bits"), F.slice(ranked, 1, prefix).alias("prefix"))
+    digests = lines.select("doc", "line", F.xxhash64("sorted").alias("key"), length.alias("n"), parity.alias("bits"), prefix.alias("prefix"))
     digests = materialize(digests, "lines")
 
     firsts = digests.groupBy("key", "n", "bits").agg(F.min(F.struct("doc", "line", "prefix")).alias("first"))
-    groups = firsts.select("key", "n", "bits", "first.doc", "first.line", "first.prefix").repartitionByRange("doc", "line").sortWithinPartitions("doc", "line")
-    groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "sets")  # gid follows (doc, line)
+    groups = _numbered(firsts.select("key", "n", "bits", "first.doc", "first.line", "first.prefix"), digests)
 
     matched = _matched(source, groups, n, t)
     firsts = groups.join(matched.withColumn("matched", F.lit(True)), "gid", "left")
@@ -105,6 +125,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed")).withColumnRenamed("doc", id_col)
 
 
+def _numbered(groups: DataFrame, digests: DataFrame) -> DataFrame:
+    """groups with gid, a long that follows the order of (doc, line): both packed into one where they fit, else numbers in sorted order."""
+    least, most, line = digests.agg(F.min("doc"), F.max("doc"), F.max("line")).first()
+    if least is None or 0 <= least and most < 1 << 40 and line < 1 << 22:
+        return materialize(groups.withColumn("gid", F.shiftleft("doc", 22).bitwiseOR(F.col("line").cast("long"))), "sets")
+    ordered = groups.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line")
+    return materialize(ordered.withColumn("gid", F.monotonically_increasing_id()), "sets")
+
+
 def _matched(source: DataFrame, groups: DataFrame, n: int, t: Fraction) -> DataFrame:
     """(gid) of the sets in groups with an earlier set at the threshold t."""
 
