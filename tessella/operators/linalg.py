@@ -101,9 +101,10 @@ def covariance(a: DataFrame, b: DataFrame, switches: str = "none", bin_size: int
     on = parse_switches(switches)
 
     def filtered(x: DataFrame) -> DataFrame:
-        x = x.select(F.col("t").alias("row"), F.col("c").alias("col"), F.col("v").alias("val")).where("v IS NOT NULL")
-        between = F.col("t").between(least, most) if "F" in on else None
-        x = x.where(F.col("row").between(least, most)) if between is None or "t" not in x.columns else x.where(between)
+        early = "F" in on  # else the filter comes after the renaming; Catalyst pushes either down to the scan
+        x = x.where(F.col("t").between(least, most)) if early else x
+        x = x.select(F.col("t").alias("row"), F.col("c").alias("col"), F.col("v").alias("val")).where("val IS NOT NULL")
+        x = x if early else x.where(F.col("row").between(least, most))
         x = row_means(x.withColumn("row", binned(F.col("row"), bin_size)))
         return x.repartition("row") if "P" in on else x
 
