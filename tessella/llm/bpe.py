@@ -18,15 +18,17 @@ import numpy as np
 import regex
 
 #: Chunks and pre-tokens that a worker keeps, twice (a young and an old generation).
-CACHE = 250_000
+CACHE = 100_000
 #: Characters of the texts encoded at once, and pre-tokens indexed at once.
-BATCH_CHARS, BATCH_WORDS = 8_000_000, 200_000
+BATCH_CHARS, BATCH_WORDS = 4_000_000, 100_000
 #: White space of str.split() that is not white space to the tokenizer.
 _FALSE_SPACE = "\x1c\x1d\x1e\x1f"
 _CHUNK = regex.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 #: Chunks of these characters only are in normal form already, but for their case.
-_SIMPLE = regex.compile(r"[\x21-\x7e\xa1-įı-ſ]+")
+_SIMPLE = regex.compile(r"[\n\x21-\x7e\xa1-įı-ſ]+")
 _NONE = np.int64(1) << 40
+#: Stands between chunks in a run of ids.
+_MARK = b"\xff\xff\xff\xff"
 
 
 def byte_symbols() -> dict[int, str]:
@@ -42,18 +44,14 @@ class Cache:
     def __init__(self, size: int = CACHE):
         self.size, self.young, self.old = size, {}, {}
 
-    def missing(self, keys: Iterable) -> list:
+    def missing(self, keys: set) -> list:
         """Keys without a value; those of keys that have one are in young afterwards. Turns generations at most once, before."""
         if len(self.young) >= self.size:
             self.young, self.old = {}, self.young
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if (v := old.get(k)) is not None:
-                    young[k] = v
-                else:
-                    out.append(k)
-        return out
+        new = keys - self.young.keys()
+        known = new & self.old.keys()
+        self.young.update((k, self.old[k]) for k in known)
+        return list(new - known)
 
 
 class WordBpe:
@@ -69,6 +67,7 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.lines = regex.compile(self.pattern.pattern + r"|\n")
         vocab = model["vocab"]
         self.tokens = dict(zip(vocab.values(), vocab, strict=True)) | {x["id"]: x["content"] for x in spec["added_tokens"]}
         symbols = byte_symbols()
@@ -151,18 +150,30 @@ class WordBpe:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks without white space; special strings inside them count as the library has it by default."""
-        parts: list[list[str] | bytes] = []
-        for c in chunks:
-            if any(a in c for a in self.added):
-                parts.append(np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                parts.append(self.pattern.findall(c.lower() if _SIMPLE.fullmatch(c) else self.library.normalizer.normalize_str(c)))
-        new = self.words.missing(dict.fromkeys(w for p in parts if type(p) is list for w in p))
+        whole = "\n".join(chunks)
+        plain = list(chunks)
+        special: dict[int, bytes] = {}
+        if any(a in whole for a in self.added):
+            for i, c in enumerate(chunks):
+                if any(a in c for a in self.added):
+                    special[i] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+                    plain[i] = ""
+        if _SIMPLE.fullmatch(whole):
+            lower = "\n".join(plain).lower()
+        else:
+            lower = "\n".join(c.lower() if _SIMPLE.fullmatch(c) else c and self.library.normalizer.normalize_str(c) for c in plain)
+        words = self.lines.findall(lower)
+        new = self.words.missing(set(words))
+        self.words.young["\n"] = _MARK
         for lo in range(0, len(new), BATCH_WORDS):
-            some = new[lo : lo + BATCH_WORDS]
-            self.words.young.update(zip(some, self.encode_words(some), strict=True))
-        get = self.words.young.__getitem__
-        return [b"".join(map(get, p)) if type(p) is list else p for p in parts]
+            some = [w for w in new[lo : lo + BATCH_WORDS] if w != "\n"]
+            if some:
+                self.words.young.update(zip(some, self.encode_words(some), strict=True))
+        # an id has zeros in its upper bytes, so that the mark is found at ends of chunks only
+        out = b"".join(map(self.words.young.__getitem__, words)).split(_MARK)
+        for i, ids in special.items():
+            out[i] = ids
+        return out
 
     def split(self, text: str) -> list[str]:
         if any(c in text for c in _FALSE_SPACE):

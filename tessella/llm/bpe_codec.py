@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Cache, WordBpe, load
+from .bpe import Cache, WordBpe, batches, load
+from .common import sliced
 
 
 class Decoder:
@@ -32,7 +33,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in it:
+        for batch in sliced(it):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(batch.column(1).to_pylist())]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
@@ -44,7 +45,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(load(path))
-        for batch in it:
+        for batch in sliced(it):
             texts = [decoder(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
 
@@ -59,11 +60,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .bpe import batches
-
         bpe = load(path)
         decoder = Decoder(bpe)
-        for batch in it:
+        for batch in sliced(it):
             rows: tuple[list, list, list] = ([], [], [])
             for texts in batches(batch.column(1).to_pylist()):
                 split = [bpe.split(t) for t in texts]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, materialize, sliced
 
 #: A place counts as unimportant if its host has it on so many pages at least and its importance is below the other.
 LEAST_PAGES, IMPORTANCE = 8, 0.2
@@ -234,7 +234,7 @@ def main_text(blocks: list[Block], low: frozenset[int] = frozenset()) -> str:
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, place, kind, feature, pages): kind 0 for presentations of children, 1 for texts; counted per batch."""
-    for batch in batches:
+    for batch in sliced(batches):
         seen: Counter[tuple] = Counter()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             blocks, shown = parse(page)
@@ -275,7 +275,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = hosted.join(F.broadcast(low) if few else low, "host", "left").select("id", "url", "html", "places")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(parse(page)[0], frozenset(places or ())) for page, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bucketjoin import compare, distinct_buckets, link_in_blocks
-from .common import join_small, materialize
+from .common import join_small, materialize, sliced
 from .components import connected_components
 from .texthash import chunks, mix, sequence_keys, shingles, word_hashes
 
@@ -44,7 +44,7 @@ def _minhash_columns(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.R
     rng = np.random.default_rng(20240229)
     mul = rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for first, part in chunks(texts):
             words, offsets = word_hashes(part)
@@ -70,7 +70,7 @@ def _minhash_columns(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.R
 
 
 def _set_columns(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch.column(0)
         for first, part in chunks(batch.column(1).to_pylist()):
             grams, at = shingles(*word_hashes(part), n)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load
+from .common import sliced
 
 SIZE, END = 4096, 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -99,7 +100,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         number = TaskContext.get().partitionId() << 36
 
         def windows() -> Iterator[list[Piece]]:
-            for batch in it:
+            for batch in sliced(it):
                 ids = batch.column(0).to_pylist()
                 for doc, tokens in zip(ids, bpe.encode(batch.column(1).to_pylist()), strict=True):
                     yield from packer.take(doc, tokens + last)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import join_small, materialize, sliced
 from .texthash import chunks, mix, word_hashes
 
 #: Hash buckets of single tokens, and as many of pairs, the last for a token that follows itself.
@@ -46,7 +46,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch], target: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of the buckets in all documents and in those with the ids in target, once per task."""
     raw, good = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, part in chunks(batch.column(1).to_pylist()):
             doc, bucket = features(part)
@@ -59,7 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch], target: np.ndarray) -> Iterator[pa
 
 
 def _scores(batches: Iterator[pa.RecordBatch], weight: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         score = np.zeros(batch.num_rows)
         for first, part in chunks(batch.column(1).to_pylist()):

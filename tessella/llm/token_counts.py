@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordBpe, batches, load
+from .common import sliced
 
 #: The table holds so many pre-tokens of so many characters at most: 5 MB or less. It only saves work: what is not
 #: in it is encoded, so it may be filled from the first SAMPLE_ROWS rows, each cut to SAMPLE_CHARS for this alone.
-TABLE_ROWS, TABLE_CHARS, SAMPLE_ROWS, SAMPLE_CHARS = 65_536, 64, 4_096, 20_000
+TABLE_ROWS, TABLE_CHARS, SAMPLE_ROWS, SAMPLE_CHARS = 65_536, 64, 2_048, 20_000
 
 
 class FrequentLengths:
@@ -36,7 +37,7 @@ class FrequentLengths:
 
 def frequent_lengths(docs: DataFrame, bpe: WordBpe, text_col: str) -> FrequentLengths:
     seen: Counter[str] = Counter()
-    for (text,) in docs.select(F.substring(text_col, 1, SAMPLE_CHARS)).limit(SAMPLE_ROWS).toLocalIterator():
+    for (text,) in docs.select(F.substring(text_col, 1, SAMPLE_CHARS)).limit(SAMPLE_ROWS).collect():
         seen.update(c for c in bpe.split(text or "") if len(c) <= TABLE_CHARS and "\n" not in c)
     often = [c for c, _ in seen.most_common(TABLE_ROWS)]
     return FrequentLengths({c: len(ids) // 4 for c, ids in zip(often, bpe.encode_chunks(often) if often else [], strict=True)})
@@ -45,19 +46,16 @@ def frequent_lengths(docs: DataFrame, bpe: WordBpe, text_col: str) -> FrequentLe
 class _Counter:
     def __init__(self, path: str, frequent: FrequentLengths):
         self.bpe, self.frequent = load(path), frequent.table()
-        self.young, self.old, self.size = dict(self.frequent), {}, len(self.frequent) + 300_000
+        self.young, self.old, self.size = dict(self.frequent), {}, len(self.frequent) + 200_000
 
     def counts(self, texts: list[str]) -> Iterator[int]:
         split = [self.bpe.split(t) for t in texts]
         if len(self.young) > self.size:
             self.old, self.young = self.young, dict(self.frequent)
-        new = []
-        for c in set().union(*split).difference(self.young):
-            if (n := self.old.get(c)) is None:
-                new.append(c)
-            else:
-                self.young[c] = n
-        if new:
+        wanted = set().union(*split) - self.young.keys()
+        known = wanted & self.old.keys()
+        self.young.update((c, self.old[c]) for c in known)
+        if new := list(wanted - known):
             self.young.update((c, len(ids) // 4) for c, ids in zip(new, self.bpe.encode_chunks(new), strict=True))
         get = self.young.__getitem__
         for s in split:
@@ -97,7 +95,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _library(path) if frequent is None else _Counter(path, frequent.value).counts
-        for batch in it:
+        for batch in sliced(it):
             tokens, size = [], []
             for part in batches(batch.column(1).to_pylist()):
                 tokens.extend(counts(part))
