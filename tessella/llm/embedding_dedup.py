@@ -3,7 +3,8 @@
 A vector is padded to a power of two, and turned three times by random signs and the fast Hadamard transform; its
 hash is the signed axis nearest to the turned vector. Several such hashes make the bucket of one table. Besides
 its own bucket a vector enters the buckets next best for it (multiprobe). All pairs that meet in a bucket are
-verified by their cosine in double precision, so no false link is returned.
+verified by their cosine in double precision, so no false link is returned. Links found join vectors into groups, in
+which all pairs are compared once, so that a link is missed only if nothing at all joins its two sides.
 
 Equal vectors are joined first and carried as one weighted item; large buckets are compared in blocks, see
 bucketjoin.
@@ -11,6 +12,7 @@ bucketjoin.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucketjoin import compare, distinct_buckets
+from .bucketjoin import compare, distinct_buckets, link_in_blocks
 from .common import materialize
 from .components import connected_components
 
 #: Tables, probes of a vector in each besides its own bucket, and hashes that make a bucket.
 TABLES, PROBES, HASHES = 12, 2, 2
+#: Vectors that a bucket should hold on average at most; more vectors take more hashes to a bucket.
+BUCKET = 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -104,13 +108,14 @@ def cosine_matches(threshold: float):
     return matches
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES) -> DataFrame:
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
     """One row per row of table: (id, n_links, component_id, kept).
 
     n_links: other vectors linked directly (cosine >= threshold in double precision), equal vectors included;
     component_id: the smallest id that links reach; kept: it is the own id. A vector that is null, empty or zero,
     or holds a null or non-finite component links with nothing. Vectors of different lengths do not link. Ids must
-    be unique; rows with a null id are left out. Other columns are not looked at.
+    be unique; rows with a null id are left out. Other columns are not looked at. hashes: None for HASHES, or as
+    many as the number of vectors asks for.
     """
     named = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     valid = materialize(named.mapInArrow(_read, "id long, data binary").withColumn("key", F.sha2("data", 256)), "vectors")
@@ -118,6 +123,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     # the key is a digest of the vector, so the data of any row with the smallest id of a key are the item's
     payload = materialize(valid.join(items.select(F.col("rep").alias("id"), "weight"), "id").select("id", "weight", "data"), "payload")
 
+    if hashes is None:
+        size = payload.agg(F.count("*").alias("n"), F.max(F.length("data")).alias("size")).first()
+        axes = 2 * max(2, 1 << max(0, (size["size"] or 8) // 8 - 1).bit_length())
+        hashes = max(HASHES, math.ceil(math.log(max(1, size["n"] / BUCKET)) / math.log(axes)))
+
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, data = batch.column("id").to_numpy(), batch.column("data").to_pylist()
@@ -129,10 +139,14 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                     codes = bucket_ids(unit([data[i] for i in some]), tables, probes, hashes) * 8191 + int(size) // 8
                     yield pa.record_batch([pa.array(codes.ravel()), pa.array(np.repeat(ids[some], codes.shape[1]))], names=["bucket", "id"])
 
-    members = distinct_buckets(materialize(payload.select("id", "data").mapInArrow(buckets, "bucket long, id long").distinct(), "entries"))
-    found = materialize(compare(members, payload, cosine_matches(threshold)), "found")
-    links = found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = connected_components(found.where("v IS NOT NULL"))
+    met = distinct_buckets(materialize(payload.select("id", "data").mapInArrow(buckets, "bucket long, id long").distinct(), "entries"))
+    matches = cosine_matches(threshold)
+    # links found within blocks join vectors into groups; in these all pairs are then compared, each once
+    groups = materialize(connected_components(link_in_blocks(met, payload, matches)).select(F.col("component").alias("bucket"), F.col("node").alias("id")), "groups")
+    sized = materialize(groups.groupBy("bucket").agg(F.count("*").alias("n")), "sized")
+    found = compare(groups.join(sized, "bucket"), payload, matches)
+    links = materialize(found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")), "links")
+    labels = groups.select(F.col("id").alias("node"), F.col("bucket").alias("component"))
     classes = items.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(
         classes.select("key", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes"
