@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .components import connected_components
 
 #: Items of a block: at least BLOCK_MIN; a bucket is cut into BLOCKS blocks until they reach BLOCK_MAX items each.
 BLOCK_MIN, BLOCK_MAX, BLOCKS = 64, 2048, 16
@@ -71,20 +72,67 @@ def _first_common(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray, bucket:
     return ok
 
 
+def _blocks(n: Column) -> Column:
+    """Blocks that n items are cut into."""
+    return F.when(n <= BLOCK_MIN, 1).otherwise(F.greatest(F.least(F.lit(BLOCKS), F.ceil(n / BLOCK_MIN)), F.ceil(n / BLOCK_MAX))).cast("long")
+
+
 def compare(members: DataFrame, payload: DataFrame, matches: Callable[[list[bytes], list[bytes] | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(u, null, links): links of item u, weights counted; (u, v, null): links that span what is connected.
 
     members(bucket, id, n) as distinct_buckets gives them; payload(id, weight, data binary), a row per item.
     matches(left, right) gives index arrays of the linked pairs of two blocks; right None: pairs within left, i < j.
     """
-    blocks = F.when(F.col("n") <= BLOCK_MIN, 1).otherwise(F.greatest(F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_MIN)), F.ceil(F.col("n") / BLOCK_MAX))).cast("long")
-    own = members.select("bucket", "id", blocks.alias("nb")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(17)), F.col("nb")))
+    own = members.select("bucket", "id", _blocks(F.col("n")).alias("nb")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(17)), F.col("nb")))
     units = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     units = units.select("id", "bucket", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     lists = members.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
     return _compared(units.join(payload.join(lists, "id"), "id"), matches)
 
 
+def joined_groups(members: DataFrame, payload: DataFrame, matches: Callable[[list[bytes], list[bytes] | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(bucket, id, n): what the links of all pairs of all buckets connect, a bucket for each connected group.
+
+    A bucket of up to BLOCK_MIN items is one unit. A larger one is first compared inside blocks, which joins most near
+    copies at a cost linear in members; then every pair of its blocks is compared, but for pairs that are joined
+    already: the items of the bucket's most common group are only compared with the others. Arguments as for compare.
+    """
+    nb = F.ceil(F.col("n") / BLOCK_MIN)
+    units = members.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), nb)).select("id", "bucket", "own", F.col("own").alias("a"), F.col("own").alias("b"))
+    links = _spanning(units, payload, matches)
+    labels = materialize(connected_components(links), "labels")
+    large = members.where(F.col("n") > BLOCK_MIN)
+    if large.limit(1).count():
+        labelled = large.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        labelled = materialize(labelled.select("bucket", "id", "n", F.coalesce("component", "id").alias("label")), "labelled")
+        counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+        mixed = counts.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.first("n").alias("n")).where("top.m < n")
+        mixed = mixed.select("bucket", F.col("top.label").alias("core"), _blocks(F.col("top.m")).alias("nc"), _blocks(F.col("n") - F.col("top.m")).alias("nr"))
+        rows = labelled.select("bucket", "id", "label").join(materialize(mixed, "mixed"), "bucket").withColumn("is_core", F.col("label") == F.col("core"))
+        # blocks 0 to nc - 1 hold the most common group, the nr after them the others
+        own = F.pmod(F.xxhash64("id", F.lit(17)), F.when(F.col("is_core"), F.col("nc")).otherwise(F.col("nr"))) + F.when(F.col("is_core"), 0).otherwise(F.col("nc"))
+        first = F.when(F.col("is_core"), F.col("nc")).otherwise(F.lit(0).cast("long"))
+        units = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(first, F.col("nc") + F.col("nr") - 1)))
+        units = units.select("id", "bucket", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+        more = _spanning(units, payload, matches)
+        if more.limit(1).count():
+            # a label stands for what is connected already
+            across = more.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+            across = across.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+            top = connected_components(across).withColumnsRenamed({"node": "label", "component": "top"})
+            nodes = labels.union(more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+            labels = nodes.join(top, F.col("component") == F.col("label"), "left").select("node", F.coalesce("top", "component").alias("component"))
+    groups = materialize(labels.select(F.col("component").alias("bucket"), F.col("node").alias("id")), "groups")
+    sized = materialize(groups.groupBy("bucket").agg(F.count("*").alias("n")), "sized")
+    return materialize(groups.join(sized, "bucket"), "grouped")
+
+
+def _spanning(units: DataFrame, payload: DataFrame, matches: Callable) -> DataFrame:
+    """(u, v): links that span what is connected inside each of units(id, bucket, own, a, b)."""
+    rows = units.join(payload, "id").withColumn("buckets", F.array("bucket"))
+    return materialize(_compared(rows, matches).where("v IS NOT NULL").select("u", "v").distinct(), "spanning")
+
+
 def link_in_blocks(members: DataFrame, payload: DataFrame, matches: Callable[[list[bytes], list[bytes] | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(u, v): links that span what is connected within blocks of about BLOCK_MIN items of each bucket.
 

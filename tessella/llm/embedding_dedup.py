@@ -6,8 +6,8 @@ its own bucket a vector enters the buckets next best for it (multiprobe). All pa
 verified by their cosine in double precision, so no false link is returned. Links found join vectors into groups, in
 which all pairs are compared once, so that a link is missed only if nothing at all joins its two sides.
 
-Equal vectors are joined first and carried as one weighted item; large buckets are compared in blocks, see
-bucketjoin.
+Equal vectors are joined first and carried as one weighted item; large buckets are compared whole, a pair of blocks
+at a time, see bucketjoin.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucketjoin import compare, distinct_buckets, link_in_blocks
+from .bucketjoin import compare, distinct_buckets, joined_groups
 from .common import materialize
-from .components import connected_components
 
 #: Tables, probes of a vector in each besides its own bucket, and hashes that make a bucket.
 TABLES, PROBES, HASHES = 12, 2, 2
@@ -141,10 +140,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     met = distinct_buckets(materialize(payload.select("id", "data").mapInArrow(buckets, "bucket long, id long").distinct(), "entries"))
     matches = cosine_matches(threshold)
-    # links found within blocks join vectors into groups; in these all pairs are then compared, each once
-    groups = materialize(connected_components(link_in_blocks(met, payload, matches)).select(F.col("component").alias("bucket"), F.col("node").alias("id")), "groups")
-    sized = materialize(groups.groupBy("bucket").agg(F.count("*").alias("n")), "sized")
-    found = compare(groups.join(sized, "bucket"), payload, matches)
+    # links found in the buckets join vectors into groups; in these all pairs are then compared, each once
+    groups = joined_groups(met, payload, matches)
+    found = compare(groups, payload, matches)
     links = materialize(found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")), "links")
     labels = groups.select(F.col("id").alias("node"), F.col("bucket").alias("component"))
     classes = items.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

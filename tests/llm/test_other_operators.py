@@ -36,6 +36,19 @@ def test_embeddings(spark, dim):
     assert embedding_dedup.near_duplicates(table.where("false")).collect() == []
 
 
+def test_sparse_links_in_a_large_cluster_of_embeddings(spark):
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    own = unit(rng.normal(size=(3000, 64)))
+    own[2800:] = unit(own[:200] * 0.68 + unit(rng.normal(size=(200, 64))) * (1 - 0.68**2) ** 0.5)
+    x = unit(unit(rng.normal(size=64)) * 0.75**0.5 + own * 0.25**0.5)
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table, hashes=1).collect()}
+    assert 200 < linked.sum() < 1000 and [got[i] for i in range(3000)] == linked.sum(axis=1).tolist()
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 8))
     assert np.allclose(np.linalg.norm(embedding_dedup.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
