@@ -133,18 +133,6 @@ def _spanning(units: DataFrame, payload: DataFrame, matches: Callable) -> DataFr
     return materialize(_compared(rows, matches).where("v IS NOT NULL").select("u", "v").distinct(), "spanning")
 
 
-def link_in_blocks(members: DataFrame, payload: DataFrame, matches: Callable[[list[bytes], list[bytes] | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(u, v): links that span what is connected within blocks of about BLOCK_MIN items of each bucket.
-
-    Every item is in one block of each of its buckets, so the work is linear in members; which items share a block
-    differs from bucket to bucket. Arguments as for compare.
-    """
-    nb = F.ceil(F.col("n") / BLOCK_MIN)
-    units = members.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), nb)).select("id", "bucket", "own", F.col("own").alias("a"), F.col("own").alias("b"))
-    rows = units.join(payload, "id").withColumn("buckets", F.array("bucket"))
-    return _compared(rows, matches).where("v IS NOT NULL").select("u", "v")
-
-
 def _compared(rows: DataFrame, matches: Callable) -> DataFrame:
     rows = rows.select("bucket", "a", "b", "own", "id", "weight", "buckets", "data")
     rows = rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")

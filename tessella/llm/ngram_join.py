@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucketjoin import compare, distinct_buckets, link_in_blocks
+from .bucketjoin import compare, distinct_buckets, joined_groups
 from .common import join_small, materialize, sliced
 from .components import connected_components
 from .texthash import chunks, mix, sequence_keys, shingles, word_hashes
@@ -116,10 +116,12 @@ def jaccard_matches(threshold: Fraction):
 
 def _minhash_matches(left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     x = np.stack([np.frombuffer(d, np.int32) for d in left])
-    equal = np.zeros((len(x), len(x)), np.int16)
+    y = x if right is None else np.stack([np.frombuffer(d, np.int32) for d in right])
+    equal = np.zeros((len(x), len(y)), np.int8)
     for k in range(COORDINATES):
-        equal += x[:, k, None] == x[None, :, k]
-    return np.nonzero(np.triu(equal >= CANDIDATE * COORDINATES, 1))
+        equal += x[:, k, None] == y[None, :, k]
+    near = equal >= CANDIDATE * COORDINATES
+    return np.nonzero(np.triu(near, 1) if right is None else near)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out. Ties need no rule, the result does not depend on any order. Other columns of docs are not looked at.
 
     limit: buckets with more items are split further, down to max_depth nodes; those still larger (items that share
-    all minhashes drawn) are compared in blocks. recall: see repetitions.
+    all minhashes drawn) are compared whole, a pair of blocks at a time. recall: see repetitions.
     """
     exact = Fraction(threshold).limit_denominator(1000)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -183,10 +185,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for more in final[1:]:
         members = members.union(more)
     met = distinct_buckets(members)
-    near = link_in_blocks(met, sigs.mapInArrow(_packed, "id long, weight long, data binary"), _minhash_matches)
-    groups = connected_components(near).select(F.col("component").alias("bucket"), F.col("node").alias("id"))
-    sized = materialize(groups.groupBy("bucket").agg(F.count("*").alias("n")), "sized")
-    members = materialize(groups.join(sized, "bucket"), "members")
+    members = joined_groups(met, sigs.mapInArrow(_packed, "id long, weight long, data binary"), _minhash_matches)
 
     needed = members.select("id")
     sets = join_small(source, needed, "id", "left_semi").mapInArrow(lambda it: _set_columns(it, n), "id long, data binary")

@@ -95,6 +95,19 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.jaccard_join(empty).collect() == []
 
 
+def test_ngram_join_of_short_texts_in_large_buckets(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(5):
+        passage = words(94)  # 90 shingles, which 1000 longer and otherwise different texts hold too
+        texts += [" ".join(passage + words(9)) for _ in range(2)] + [" ".join(passage + words(220)) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_join(df, recall=0.99, max_depth=1).collect()}
+    assert close(shingles(texts[0]), shingles(texts[1])) and not close(shingles(texts[0]), shingles(texts[2]))
+    assert got == {i: (i - (i % 1002 == 1), int(i % 1002 < 2)) for i in range(len(texts))}
+
+
 def brute_removed(rows):
     seen, out = [], {}
     for i, t in sorted(rows):
