@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from .bucketjoin import compare, distinct_buckets, joined_groups
 from .common import materialize
 
-#: Tables, probes of a vector in each besides its own bucket, and hashes that make a bucket.
+#: Least tables, probes of a vector in each besides its own bucket, and hashes that make a bucket.
 TABLES, PROBES, HASHES = 12, 2, 2
 #: Vectors that a bucket should hold on average at most; more vectors take more hashes to a bucket.
 BUCKET = 32
+#: Share of the pairs at the threshold that meet in a bucket; tables are added for it where buckets take more hashes.
+RECALL = 0.999
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -73,6 +75,20 @@ def bucket_ids(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES,
     return out.reshape(n, -1)
 
 
+def tables_needed(dim: int, threshold: float, hashes: int, probes: int = PROBES, recall: float = RECALL) -> int:
+    """Tables, TABLES at least, in which a pair at the threshold meets with probability recall, from the share of tables in which random pairs meet."""
+    rng = np.random.default_rng(3)
+    length = lambda v: np.sqrt((v * v).sum(axis=1, keepdims=True))
+    a, r = rng.normal(size=(2, 400, max(2, dim)))
+    a /= length(a)
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * r / length(r)
+    x, y = (bucket_ids(v, TABLES, probes, hashes).reshape(len(v), TABLES, 1 + probes) for v in (a, b))
+    share = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3)).mean()
+    share = min(max(share, 1 / x[:, :, 0].size), 1 - 1e-9)
+    return max(TABLES, math.ceil(math.log(1 - recall) / math.log(1 - share)))
+
+
 def _valid(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     """Rows whose vector is not null, empty or zero and has only finite components, and their components as double precision bytes."""
     rows, data = [], []
@@ -107,14 +123,14 @@ def cosine_matches(threshold: float):
     return matches
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int | None = None, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
     """One row per row of table: (id, n_links, component_id, kept).
 
     n_links: other vectors linked directly (cosine >= threshold in double precision), equal vectors included;
     component_id: the smallest id that links reach; kept: it is the own id. A vector that is null, empty or zero,
     or holds a null or non-finite component links with nothing. Vectors of different lengths do not link. Ids must
     be unique; rows with a null id are left out. Other columns are not looked at. hashes: None for HASHES, or as
-    many as the number of vectors asks for.
+    many as the number of vectors asks for. tables: None for as many as tables_needed says.
     """
     named = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     valid = materialize(named.mapInArrow(_read, "id long, data binary").withColumn("key", F.sha2("data", 256)), "vectors")
@@ -122,10 +138,13 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     # the key is a digest of the vector, so the data of any row with the smallest id of a key are the item's
     payload = materialize(valid.join(items.select(F.col("rep").alias("id"), "weight"), "id").select("id", "weight", "data"), "payload")
 
+    size = payload.agg(F.count("*").alias("n"), F.max(F.length("data")).alias("size")).first()
+    dim = (size["size"] or 8) // 8
     if hashes is None:
-        size = payload.agg(F.count("*").alias("n"), F.max(F.length("data")).alias("size")).first()
-        axes = 2 * max(2, 1 << max(0, (size["size"] or 8) // 8 - 1).bit_length())
+        axes = 2 * max(2, 1 << max(0, dim - 1).bit_length())
         hashes = max(HASHES, math.ceil(math.log(max(1, size["n"] / BUCKET)) / math.log(axes)))
+    if tables is None:
+        tables = tables_needed(dim, threshold, hashes, probes)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -49,6 +49,19 @@ def test_sparse_links_in_a_large_cluster_of_embeddings(spark):
     assert 200 < linked.sum() < 1000 and [got[i] for i in range(3000)] == linked.sum(axis=1).tolist()
 
 
+@pytest.mark.parametrize("hashes", [3, 4])
+def test_recall_of_embeddings_does_not_depend_on_hashes(spark, hashes):
+    rng = np.random.default_rng(hashes)
+    a, r = rng.normal(size=(2, 500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    x = np.concatenate([a, 0.9001 * a + (1 - 0.9001**2) ** 0.5 * r / np.linalg.norm(r, axis=1, keepdims=True)])
+    linked = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None] >= 0.9
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(table, hashes=hashes).collect())
+    assert linked.sum() - len(x) == 1000 and found >= 0.9975 * 1000
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 8))
     assert np.allclose(np.linalg.norm(embedding_dedup.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
