@@ -1,8 +1,8 @@
-"""Quality rules as a short-circuit cascade of SQL expressions.
+"""Quality rules as SQL expressions.
 
-Each rule's cost and share of rejections are estimated on a bounded sample; the rules are then tried in the order
-of rejections per cost, and a document rejected by one is not looked at by the next. The verdict is the
-conjunction of all rules, so it depends neither on the order nor on the sample.
+Each rule's cost and share of rejections are estimated on a bounded sample; the rules are then compared in the
+order of rejections per cost. The features of all rules are computed for every document first, so nothing is
+short-circuited. The verdict is the conjunction of all rules, so it depends neither on the order nor on the sample.
 """
 
 from __future__ import annotations
