@@ -62,6 +62,15 @@ def join_small(left: DataFrame, ids: DataFrame, on: str | list[str], how: str, l
     return left.join(F.broadcast(ids) if small else ids, on, how)
 
 
+def one_row_per_id(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
+    """df(id, value) with one row per id, that with the smallest value; only rows that repeat an id are shuffled."""
+    repeated = materialize(df.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    if not repeated.limit(1).count():
+        return df
+    once = join_small(df, repeated, id_col, "left_anti")
+    return once.union(join_small(df, repeated, id_col, "left_semi").groupBy(id_col).agg(F.min(value_col).alias(value_col)))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -1,14 +1,18 @@
 """Near-duplicate lines across and within documents by an exact set-similarity join, with DataFrame operations only.
 
-A line's tokens are its word shingles; the set of them is its value. Tokens are ordered by rarity, counted over all
-documents in a table of fixed size (ties by hash: any total order keeps the join exact, a rare-first one makes it
-small). Two sets at the threshold share a token in their prefixes, the rarest tokens of each; pairs that do are
-pruned by length, by position, and by a parity bitmap that bounds the symmetric difference, and what is left is
-verified on the whole sets.
-
-Lines with equal sets are joined first. Large groups of near copies are never expanded: which lines have a candidate
-at all is found by semi joins; each candidate is then compared with the earliest line on its prefix tokens, and only
-those that this leaves open meet all the others.
+A line's tokens are its word shingles; the set of them is its value. Two sets at the threshold share tokens in their
+prefixes, the first few tokens of each in any total order. Lines with equal sets are joined first; then two filters
+follow, each over all that the one before it left:
+
+1. The order is that of the hash. A prefix is one token longer than needed, so that two sets at the threshold share
+   at least two of its tokens; a set stays if two of its prefix tokens are also in the prefix of a set of like size.
+   This only counts, so that no pair is formed and no token is too frequent for it.
+2. The order is that of rarity: tokens are counted over all sets that are left, exactly. A token that one set alone
+   holds comes first and joins nothing, so that a set stays only if its share of other tokens reaches the threshold.
+   Prefixes of this order are joined by length, position, and a parity bitmap that bounds the symmetric difference.
+
+Pairs that remain are verified on the sets. Large groups of near copies are never expanded: each set is compared with
+one that is the earliest on its prefix tokens, and only those that this leaves open meet all the others.
 """
 
 from __future__ import annotations
@@ -18,58 +22,82 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, computed_once, join_small, materialize, text_or_empty
+from .common import BROADCAST_ROWS, computed_once, join_small, materialize, one_row_per_id, text_or_empty
 
-#: Buckets of the rarity table.
-BUCKETS = 1 << 14
+#: Prefix tokens that two sets at the threshold share at least in the first filter.
+SHARED = 2
+#: Bits of a line number in the number of a set.
+LINE_BITS = 22
 
 
 def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}_]+"), "")
 
 
-def _shingle(hashes: list[Column]) -> Column:
-    """The hash of a shingle from those of its words: of all but the last, and of the last."""
-    out = hashes[0]
-    for h in hashes[1:]:
-        out = F.xxhash64(out, h)
-    return out
+def _with_tokens(lines: DataFrame, n: int, *columns: str) -> DataFrame:
+    """(*columns, tokens) of the rows of lines(*columns, content) with n words or more: sorted hashes of the distinct shingles."""
+    worded = computed_once(lines.select(*columns, _words(F.col("content")).alias("w")), F.size("w") >= n)
+    hashed = worded.select(*columns, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    parts = [F.slice("h", F.lit(k + 1), F.size("h") - (n - 1)) for k in range(n)]
+    return hashed.select(*columns, F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*parts), lambda s: F.xxhash64(s)))).alias("tokens"))
 
 
-def _tokens(hashes: Column, n: int) -> Column:
-    """Hashes of the distinct n-word shingles, from the array of the words' hashes."""
-    out = hashes
-    for k in range(1, n):
-        size = F.size(hashes) - k
-        out = F.zip_with(F.slice(out, F.lit(1), size), F.slice(hashes, F.lit(k + 1), size), lambda a, h: F.xxhash64(a, h))
-    return F.array_distinct(out)
+def _split(docs: DataFrame) -> DataFrame:
+    return docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
 
 
-def _worded(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, line, w) of the lines with n words or more."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return computed_once(lines.select("doc", "line", _words(F.col("content")).alias("w")), F.size("w") >= n)
+def _least_common(n: Column, t: Fraction) -> Column:
+    """Tokens that a set of n has in common with any set at the threshold t, at least."""
+    return F.ceil(n * t.numerator / t.denominator).cast("int")
 
 
-def _lines(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, line, tokens) of the lines with n words or more."""
-    hashed = _worded(docs, n).select("doc", "line", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    return hashed.select("doc", "line", _tokens(F.col("h"), n).alias("tokens"))
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, removed): of every document that loses lines, the sorted numbers (from 0) of those lines.
+
+    A line goes if an earlier line, in the order of id and line number, has a Jaccard similarity of threshold or
+    more, whether that line stays or not; so of equal lines the first stays. Lines are split at "\n"; words are
+    lower-cased runs of letters, digits and "_"; a line of fewer than n words has no shingle and always stays. Null
+    and empty texts lose nothing; texts and lines of any length are taken whole. Rows with a null id lose nothing.
+    Rows that repeat an id count as one, with the smallest of their texts. Other columns are not looked at. An empty
+    table gives no rows.
+    """
+    t = Fraction(threshold).limit_denominator(1000)
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
+    source = one_row_per_id(source, "doc", "text")
+    size = F.col("n")
+    digests = _with_tokens(_split(source), n, "doc", "line").withColumn("n", F.size("tokens"))
+    prefix = F.slice("tokens", F.lit(1), size - _least_common(size, t) + F.least(F.lit(SHARED), _least_common(size, t)))
+    prefix = F.transform(prefix, lambda x: F.shiftrightunsigned(x, 16))  # 48 bits, as it only filters
+    digests = digests.select("doc", "line", F.xxhash64("tokens").alias("key"), F.hash("tokens").alias("check"), "n", prefix.alias("prefix"))
+    digests = _numbered(materialize(digests, "lines"))
+
+    same = ["key", "check", "n"]
+    firsts = materialize(digests.groupBy(*same).agg(F.min("gid").alias("gid")), "firsts")
+    groups = digests.select("gid", "doc", "line", "n", "prefix").join(firsts.select("gid"), "gid", "left_semi")
+    matched = _matched(source, materialize(groups, "sets"), n, t)
+    firsts = firsts.join(matched.withColumn("matched", F.lit(True)), "gid", "left").withColumnRenamed("gid", "first")
+    gone = digests.select("doc", "line", "gid", *same).join(firsts, same).where(F.col("matched") | (F.col("gid") != F.col("first")))
+    return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed")).withColumnRenamed("doc", id_col)
 
 
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+def _numbered(digests: DataFrame) -> DataFrame:
+    """digests with gid, a long that follows the order of (doc, line): both packed into one where they fit, else numbers in sorted order."""
+    least, most, line = digests.agg(F.min("doc"), F.max("doc"), F.max("line")).first()
+    if least is None or 0 <= least and most < 1 << 62 - LINE_BITS and line < 1 << LINE_BITS:
+        return digests.withColumn("gid", F.shiftleft("doc", LINE_BITS).bitwiseOR(F.col("line").cast("long")))
+    ordered = digests.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line")
+    return materialize(ordered.withColumn("gid", F.monotonically_increasing_id()), "numbered")
 
 
-def _rarity(docs: DataFrame, n: int) -> Column:
-    """A literal array: of each bucket 0 if its tokens are as rare as most, else a number that grows with their count."""
-    # explode_outer, as explode would add a filter and with it a second evaluation of the words
-    places = _worded(docs, n).select("w", F.explode_outer(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
-    token = _shingle([F.xxhash64(F.get("w", F.col("i") + k)) for k in range(n)])
-    counts = {r["b"]: r["n"] for r in places.groupBy(_bucket(token).alias("b")).agg(F.count("*").alias("n")).collect()}
-    usual = sorted(counts.get(b, 0) for b in range(BUCKETS))[BUCKETS // 2]
-    tier = lambda c: 0 if c <= 2 * usual + 8 else 2 * c.bit_length() + (c >> (c.bit_length() - 2) & 1)
-    return F.expr("cast(split('" + ",".join(str(tier(counts.get(b, 0))) for b in range(BUCKETS)) + "', ',') as array<int>)")
+def _likely(groups: DataFrame, t: Fraction) -> DataFrame:
+    """(doc, line, gid) of the sets in groups(gid, doc, line, n, prefix) that the first filter leaves."""
+    postings = groups.select("gid", "n", F.explode("prefix").alias("token"))
+    held = postings.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
+    like = F.col("least") * t.denominator >= F.col("most") * t.numerator  # decides for two; of more, some are taken to be alike
+    held = held.where((F.col("m") > 2) | ((F.col("m") == 2) & like)).select("token")
+    hits = postings.join(held, "token", "left_semi").groupBy("gid", "n").agg(F.count("*").alias("hits"))
+    enough = hits.where(F.col("hits") >= F.least(F.lit(SHARED), _least_common(F.col("n"), t))).select("gid")
+    return groups.select("gid", "doc", "line").join(enough, "gid")
 
 
 def _candidate(a: str, b: str, t: Fraction) -> Column:
@@ -85,79 +113,44 @@ def _candidate(a: str, b: str, t: Fraction) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """(gid) of the a in pairs(a, b) whose sets have a Jaccard similarity of t or more."""
+    """(gid) of the a in pairs(a, b) whose sets have a Jaccard similarity of t or more; sets(gid, n, ranked) lack tokens that one set alone holds."""
     p, q = t.numerator, t.denominator
-    both = pairs.join(sets.select(F.col("gid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("gid").alias("b"), F.col("tokens").alias("y")), "b")
+    side = lambda gid, size, tokens: sets.select(F.col("gid").alias(gid), F.col("n").alias(size), F.col("ranked.token").alias(tokens))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * (p + q) >= (F.size("x") + F.size("y")) * p).select(F.col("a").alias("gid")).distinct()
+    return both.where(common * (p + q) >= (F.col("na") + F.col("nb")) * p).select(F.col("a").alias("gid")).distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, removed): of every document that loses lines, the sorted numbers (from 0) of those lines.
-
-    A line goes if an earlier line, in the order of id and line number, has a Jaccard similarity of threshold or
-    more, whether that line stays or not. Lines are split at "\\n"; words are lower-cased runs of letters, digits
-    and "_"; a line of fewer than n words has no shingle and always stays. Null and empty texts lose nothing. Ids
-    must be unique longs; rows with a null id lose nothing. Other columns are not looked at.
-    """
-    t = Fraction(threshold).limit_denominator(1000)
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    lines = _lines(source, n)
-    rarity = _rarity(source, n)
-    length = F.size("tokens")
-    lines = lines.select("doc", "line", "tokens", F.sort_array("tokens").alias("sorted"))
-    ranked = F.transform(F.sort_array(F.transform("tokens", lambda x: F.struct(F.get(rarity, _bucket(x)).alias("tier"), x.alias("x")))), lambda s: s["x"])
-    ranked = F.when(F.exists("tokens", lambda x: F.get(rarity, _bucket(x)) > 0), ranked).otherwise(F.col("sorted"))
-    prefix = F.slice(ranked, F.lit(1), length - F.ceil(length * t.numerator / t.denominator).cast("int") + 1)
-    prefix = F.transform(prefix, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))  # for joining only
+def _ranked(tokens: DataFrame, t: Fraction) -> DataFrame:
+    """(gid, n, bits, ranked) of the sets in tokens(gid, tokens) with enough tokens that others hold too; ranked: these as (df, token), rarest first."""
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))))
-    digests = lines.select("doc", "line", F.xxhash64("sorted").alias("key"), length.alias("n"), parity.alias("bits"), prefix.alias("prefix"))
-    digests = materialize(digests, "lines")
-
-    firsts = digests.groupBy("key", "n", "bits").agg(F.min(F.struct("doc", "line", "prefix")).alias("first"))
-    groups = _numbered(firsts.select("key", "n", "bits", "first.doc", "first.line", "first.prefix"), digests)
-
-    matched = _matched(source, groups, n, t)
-    firsts = groups.join(matched.withColumn("matched", F.lit(True)), "gid", "left")
-    firsts = materialize(firsts.select("key", "n", "bits", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched")), "firsts")
-    joined = digests.select("doc", "line", "key", "n", "bits").join(firsts, ["key", "n", "bits"])
-    gone = joined.where(F.col("matched") | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed")).withColumnRenamed("doc", id_col)
-
-
-def _numbered(groups: DataFrame, digests: DataFrame) -> DataFrame:
-    """groups with gid, a long that follows the order of (doc, line): both packed into one where they fit, else numbers in sorted order."""
-    least, most, line = digests.agg(F.min("doc"), F.max("doc"), F.max("line")).first()
-    if least is None or 0 <= least and most < 1 << 40 and line < 1 << 22:
-        return materialize(groups.withColumn("gid", F.shiftleft("doc", 22).bitwiseOR(F.col("line").cast("long"))), "sets")
-    ordered = groups.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line")
-    return materialize(ordered.withColumn("gid", F.monotonically_increasing_id()), "sets")
+    held = tokens.select("gid", F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = held.join(counts, "token").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    sized = tokens.select("gid", F.size("tokens").alias("n"), parity.alias("bits"))
+    return sized.join(ranked, "gid").where(F.size("ranked") >= _least_common(F.col("n"), t))
 
 
 def _matched(source: DataFrame, groups: DataFrame, n: int, t: Fraction) -> DataFrame:
     """(gid) of the sets in groups with an earlier set at the threshold t."""
-
-    def postings(df: DataFrame) -> DataFrame:
-        return df.select("gid", "n", "bits", F.posexplode("prefix").alias("place", "token")).select("token", "gid", "n", "bits", (F.col("place") + 1).alias("pos"))
-
-    def near(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        later, earlier = ("b", "a") if how == "earlier" else ("a", "b")
-        on = (F.col("a.token") == F.col("b.token")) & _candidate(later, earlier, t)
-        return left.alias("a").join(right.alias("b"), on, "inner" if how == "pairs" else "left_semi")
-
-    every = postings(groups)
-    with_earlier, with_later = near(every, every, "later").select("gid"), near(every, every, "earlier").select("gid")
-    involved = materialize(with_earlier.union(with_later).distinct(), "involved")
-    some = materialize(join_small(groups, involved, "gid", "left_semi"), "candidates")
-    where = materialize(some.select("doc").distinct(), "where")
-    lines = _lines(join_small(source, where, "doc", "left_semi"), n)
-    sets = materialize(join_small(lines, some.select("doc", "line", "gid"), ["doc", "line"], "inner").select("gid", "tokens"), "tokens")
-
-    own = materialize(postings(some), "postings")
-    first = materialize(own.groupBy("token").agg(F.min(F.struct("gid", "n", "bits", "pos")).alias("f")).select("token", "f.*"), "first")
-    at_first = materialize(_verified(near(own, first, "pairs").select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b")).distinct(), sets, t), "matched")
+    likely = materialize(_likely(groups, t), "likely")
+    tokens = materialize(_with_tokens(join_small(_split(source), likely, ["doc", "line"], "inner"), n, "gid"), "tokens")
+    sets = materialize(_ranked(tokens, t), "ranked")
+
+    alone = F.col("n") - F.size("ranked")  # tokens that come first, as no other set holds them
+    prefix = F.slice("ranked", F.lit(1), F.col("n") - _least_common(F.col("n"), t) + 1 - alone)
+    own = sets.select("gid", "n", "bits", alone.alias("alone"), F.posexplode(prefix).alias("place", "r"))
+    own = materialize(own.select(F.col("r.token").alias("token"), "gid", "n", "bits", (F.col("alone") + F.col("place") + 1).alias("pos")), "postings")
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = (F.col("a.token") == F.col("b.token")) & _candidate("a", "b", t)
+        return left.alias("a").join(right.alias("b"), on).select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"))
+
+    first = own.groupBy("token").agg(F.min(F.struct("gid", "n", "bits", "pos")).alias("f")).select("token", "f.*")
+    one = near(own, first).groupBy("a").agg(F.min("b").alias("b"))
+    at_first = materialize(_verified(one, sets, t), "matched")
     still = join_small(own, at_first, "gid", "left_anti")
-    rest = _verified(near(still, own, "pairs").select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b")).distinct(), sets, t)
+    rest = _verified(near(still, own).distinct(), sets, t)
     return materialize(at_first.union(rest), "all-matched")
 
 
@@ -166,8 +159,10 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
     removed = materialize(removed.select(F.col(id_col), F.col("removed").alias("__removed")), "removed")
     few = removed.agg(F.coalesce(F.sum(F.size("__removed") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS
     joined = docs.join(F.broadcast(removed) if few else removed, id_col, "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    # a lambda binds the lines, so that the text is split once
+    numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__removed")
+    kept = F.transform(F.array(F.split(text_col, "\n")), lambda lines: F.array_join(F.transform(numbers(lines), lambda i: F.get(lines, i)), "\n"))
+    return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept[0])).select(*docs.columns)
 
 
 def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
