@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,13 +20,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _own_dirs: dict[str, str] = {}
+#: Where the tables that materialize wrote lie, by a table's DataFrame.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset and all run in one process, a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
@@ -40,20 +49,37 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
-    The table is deleted when the Python process ends.
+    The table is deleted by discard, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts at a time become Python strings."""
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing will read again, and the shuffle files of finished jobs.
+
+    Spark keeps shuffle files until the driver collects the plans that made them, by itself only every half hour.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        _delete(spark, _paths.pop(table))
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts at a time become Python strings; memory that is free at the end goes back to the system."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def join_small(left: DataFrame, ids: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,8 +3,9 @@
 A vector is padded to a power of two, and turned three times by random signs and the fast Hadamard transform; its
 hash is the signed axis nearest to the turned vector. Several such hashes make the bucket of one table. Besides
 its own bucket a vector enters the buckets next best for it (multiprobe). All pairs that meet in a bucket are
-verified by their cosine in double precision, so no false link is returned. Links found join vectors into groups, in
-which all pairs are compared once, so that a link is missed only if nothing at all joins its two sides.
+compared by components rounded to 8 bits, with the error of rounding allowed for, which joins vectors into candidate
+groups. All pairs of a group are verified once by their cosine in double precision, so that no false link is returned
+and a link is missed only if nothing at all joins its two sides.
 
 Equal vectors are joined first and carried as one weighted item; large buckets are compared whole, a pair of blocks
 at a time, see bucketjoin.
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucketjoin import compare, distinct_buckets, joined_groups
-from .common import materialize
+from .bucketjoin import Matches, compare, distinct_buckets, fixed, joined_groups
+from .common import materialize, one_row_per_id
 
 #: Least tables, probes of a vector in each besides its own bucket, and hashes that make a bucket.
 TABLES, PROBES, HASHES = 12, 2, 2
@@ -108,19 +110,60 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).take(pa.array(rows)).cast(pa.int64()), pa.array(data, pa.binary())], names=["id", "data"])
 
 
-def unit(data: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(d, np.float64) for d in data])
+def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cosine_matches(threshold: float):
-    def matches(left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-        a = unit(left)
-        linked = a @ (a if right is None else unit(right)).T >= threshold
+def _by_size(matches: Matches) -> Matches:
+    """matches for values of equal length, applied to values of any length; those of different lengths do not match."""
+
+    def of_any(left: pa.Array, right: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+        sizes = [np.asarray(pc.binary_length(x)) for x in (left, left if right is None else right)]
+        if all((s == sizes[0][0]).all() for s in sizes):
+            return matches(left, right)
+        found = []
+        for size in np.intersect1d(*sizes):
+            i, j = (np.flatnonzero(s == size) for s in sizes)
+            a, b = matches(left.take(pa.array(i)), None if right is None else right.take(pa.array(j)))
+            found.append((i[a], j[b]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    return of_any
+
+
+def cosine_matches(threshold: float) -> Matches:
+    def matches(left: pa.Array, right: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+        a = unit(fixed(left, "<f8"))
+        linked = a @ (a if right is None else unit(fixed(right, "<f8"))).T >= threshold
         return np.nonzero(np.triu(linked, 1) if right is None else linked)
 
-    return matches
+    return _by_size(matches)
+
+
+def rounded(x: np.ndarray) -> list[bytes]:
+    """Unit vectors with components of 8 bits, after their unit and the length of what rounding took, as 32-bit floats."""
+    step = (np.abs(x).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    q = np.rint(x / step).astype(np.int8)
+    error = np.sqrt(((x - q * step.astype(np.float64)) ** 2).sum(axis=1, keepdims=True)).astype(np.float32)
+    return [r.tobytes() for r in np.concatenate([step.view(np.int8), error.view(np.int8), q], axis=1)]
+
+
+def rounded_matches(threshold: float) -> Matches:
+    """All pairs at the threshold and those that rounding cannot tell from them."""
+
+    def read(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x = fixed(data, "i1")
+        head = np.ascontiguousarray(x[:, :8]).view(np.float32)
+        return x[:, 8:] * head[:, :1], head[:, 1]
+
+    def matches(left: pa.Array, right: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+        a, ea = read(left)
+        b, eb = (a, ea) if right is None else read(right)
+        linked = a @ b.T + ea[:, None] * (1 + eb) + eb >= threshold - 1e-4
+        return np.nonzero(np.triu(linked, 1) if right is None else linked)
+
+    return _by_size(matches)
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int | None = None, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
@@ -128,11 +171,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     n_links: other vectors linked directly (cosine >= threshold in double precision), equal vectors included;
     component_id: the smallest id that links reach; kept: it is the own id. A vector that is null, empty or zero,
-    or holds a null or non-finite component links with nothing. Vectors of different lengths do not link. Ids must
-    be unique; rows with a null id are left out. Other columns are not looked at. hashes: None for HASHES, or as
-    many as the number of vectors asks for. tables: None for as many as tables_needed says.
+    or holds a null or non-finite component links with nothing. Vectors of different lengths do not link. Rows that
+    repeat an id count as one, with the smallest of their vectors, and get equal results; a row with a null id links
+    with nothing and is kept. Ties need no rule. Other columns are not looked at. An empty table gives no rows.
+    hashes: None for HASHES, or as many as the number of vectors asks for. tables: None for as many as tables_needed
+    says.
     """
-    named = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    every = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    present = every.where("id IS NOT NULL")
+    named = one_row_per_id(present, "id", "vector")
     valid = materialize(named.mapInArrow(_read, "id long, data binary").withColumn("key", F.sha2("data", 256)), "vectors")
     items = materialize(valid.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "items")
     # the key is a digest of the vector, so the data of any row with the smallest id of a key are the item's
@@ -148,26 +195,39 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, data = batch.column("id").to_numpy(), batch.column("data").to_pylist()
-            sizes = np.array([len(d) for d in data])
+            ids, data = batch.column("id").to_numpy(), batch.column("data")
+            sizes = np.asarray(pc.binary_length(data))
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 for lo in range(0, len(at), 2048):
                     some = at[lo : lo + 2048]
-                    codes = bucket_ids(unit([data[i] for i in some]), tables, probes, hashes) * 8191 + int(size) // 8
-                    yield pa.record_batch([pa.array(codes.ravel()), pa.array(np.repeat(ids[some], codes.shape[1]))], names=["bucket", "id"])
-
-    met = distinct_buckets(materialize(payload.select("id", "data").mapInArrow(buckets, "bucket long, id long").distinct(), "entries"))
-    matches = cosine_matches(threshold)
-    # links found in the buckets join vectors into groups; in these all pairs are then compared, each once
-    groups = joined_groups(met, payload, matches)
-    found = compare(groups, payload, matches)
-    links = materialize(found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")), "links")
-    labels = groups.select(F.col("id").alias("node"), F.col("bucket").alias("component"))
-    classes = items.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                    codes = bucket_ids(unit(fixed(data.take(pa.array(some)), "<f8")), tables, probes, hashes) * 8191 + int(size) // 8
+                    codes.sort(axis=1)
+                    new = np.ones(codes.shape, bool)
+                    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+                    yield pa.record_batch([pa.array(codes[new]), pa.array(np.repeat(ids[some], new.sum(axis=1)))], names=["bucket", "id"])
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column("data")
+            sizes = np.asarray(pc.binary_length(data))
+            out = np.empty(len(sizes), object)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                out[at] = rounded(unit(fixed(data.take(pa.array(at)), "<f8")))
+            yield pa.record_batch([batch.column("id"), pa.array(out.tolist(), pa.binary())], names=["id", "data"])
+
+    met = distinct_buckets(materialize(payload.select("id", "data").mapInArrow(buckets, "bucket long, id long"), "entries"))
+    groups = joined_groups(met, materialize(payload.select("id", "data").mapInArrow(small, "id long, data binary"), "rounded"), rounded_matches(threshold))
+    links, labels = compare(groups, payload, cosine_matches(threshold))
+    classes = items.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(
         classes.select("key", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes"
     )
-    linked = valid.select("id", "key").join(classes, "key").select("id", "n_links", "component_id")
-    lone = named.select("id").join(valid.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(lone).withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
+    none = F.lit(0).cast("long").alias("n_links")
+    out = valid.select("id", "key").join(classes, "key").select("id", "n_links", "component_id")
+    out = out.union(named.select("id").join(valid.select("id"), "id", "left_anti").select("id", none, F.col("id").alias("component_id")))
+    if named is not present:
+        out = present.select("id").join(materialize(out, "results"), "id")
+    out = out.union(every.where("id IS NULL").select("id", none, F.col("id").alias("component_id")))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)

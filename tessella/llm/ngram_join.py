@@ -5,10 +5,10 @@ path draws coordinates of the sets' minhashes (a minhash is a token that sets of
 probability s) and splits the node's sets by the token drawn, until a bucket is small enough to compare all its
 pairs. Runs are repeated until a pair at the threshold is missed with a probability below 1 - recall.
 
-Buckets are compared by minhashes, which joins their items into candidate groups. All pairs of a group are then
-verified once on the whole shingle sets, so no false link is returned, and links between any items of a group are
-found. Texts with the same words in the same order are joined first and carried as one weighted item. Large groups
-(of near copies) are compared in blocks, see bucketjoin.
+Buckets are compared by minhashes, all pairs of each, which joins their items into candidate groups. All pairs of a
+group are then verified once on the whole shingle sets, so no false link is returned, and links between any items of
+a group are found. Texts with the same words in the same order are joined first and carried as one weighted item.
+Large groups (of near copies) are compared in blocks, see bucketjoin.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucketjoin import compare, distinct_buckets, joined_groups
-from .common import join_small, materialize, sliced
-from .components import connected_components
+from .bucketjoin import Matches, compare, distinct_buckets, fixed, joined_groups
+from .common import join_small, materialize, one_row_per_id, sliced
 from .texthash import chunks, mix, sequence_keys, shingles, word_hashes
 
 #: Minhashes of a text: what paths draw from.
@@ -63,7 +62,7 @@ def _minhash_columns(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.R
                     pa.array(np.diff(offsets)),
                     pa.array(keys[:, 0].copy()),
                     pa.array(keys[:, 1].copy()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.ravel())),
+                    pa.array([x.tobytes() for x in sig], pa.binary()),
                 ],
                 names=["id", "n_words", "key1", "key2", "sig"],
             )
@@ -78,12 +77,12 @@ def _set_columns(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
             yield pa.record_batch([ids.slice(first, len(part)).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "data"])
 
 
-def jaccard_matches(threshold: Fraction):
+def jaccard_matches(threshold: Fraction) -> Matches:
     """Pairs of shingle sets (bytes of sorted unique 64-bit hashes) whose Jaccard similarity is threshold or more, exactly."""
     p, q = threshold.numerator, threshold.denominator
 
-    def matches(left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-        sets = [np.frombuffer(x, np.uint64) for x in left + (right or [])]
+    def matches(left: pa.Array, right: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x, np.uint64) for x in left.to_pylist() + (right.to_pylist() if right is not None else [])]
         sizes = np.array([len(x) for x in sets], np.int64)
         cut = len(left) if right is not None else len(sets)
         if len(sets) == 2:
@@ -114,9 +113,9 @@ def jaccard_matches(threshold: Fraction):
     return matches
 
 
-def _minhash_matches(left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack([np.frombuffer(d, np.int32) for d in left])
-    y = x if right is None else np.stack([np.frombuffer(d, np.int32) for d in right])
+def _minhash_matches(left: pa.Array, right: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+    x = fixed(left, "<i4")
+    y = x if right is None else fixed(right, "<i4")
     equal = np.zeros((len(x), len(y)), np.int8)
     for k in range(COORDINATES):
         equal += x[:, k, None] == y[None, :, k]
@@ -124,13 +123,6 @@ def _minhash_matches(left: list[bytes], right: list[bytes] | None) -> tuple[np.n
     return np.nonzero(np.triu(near, 1) if right is None else near)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, weight, data) with the minhashes as bytes."""
-    for batch in batches:
-        data = [x.values.to_numpy().tobytes() for x in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(np.ones(batch.num_rows, np.int64)), pa.array(data, pa.binary())], names=["id", "weight", "data"])
-
-
 def _drawn(path, level: int):
     """Coordinates that the node at path draws: one, and a second one SECOND times in 4."""
     pick = lambda salt: F.pmod(F.xxhash64(path, F.lit(level), F.lit(salt)), F.lit(COORDINATES)).cast("int")
@@ -141,25 +133,29 @@ def _drawn(path, level: int):
 def _step(df: DataFrame, level: int) -> DataFrame:
     """df(path, id, sig) one level down."""
     drawn = df.withColumn("c", F.explode(_drawn(F.col("path"), level)))
-    return drawn.select(F.xxhash64("path", F.lit(level), "c", F.col("sig")[F.col("c")]).alias("path"), "id", "sig")
+    return drawn.select(F.xxhash64("path", F.lit(level), "c", F.substring("sig", 4 * F.col("c") + 1, F.lit(4))).alias("path"), "id", "sig")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, limit: int = 64, max_depth: int = 3) -> DataFrame:
     """One row per row of docs: (id, class_id, n_links).
 
-    class_id is the smallest id that links reach; n_links counts the other rows linked directly, copies included.
+    class_id is the smallest id that links reach; n_links counts the other ids linked directly, copies included.
     Links: Jaccard similarity of the n-word shingle sets >= threshold. Words are lower-cased runs of letters,
     digits and "_"; a text of fewer than n words has one shingle of all its words; a null, empty or wordless text
-    links with nothing, so that it is its own class. Ids must be unique and not null; rows with a null id are left
-    out. Ties need no rule, the result does not depend on any order. Other columns of docs are not looked at.
+    links with nothing, so that it is its own class. Texts of any length are taken whole. Rows that repeat an id count
+    as one, with the smallest of their texts, and get equal results; a row with a null id has a null class and no
+    links. Ties need no rule, the result does not depend on any order. Other columns of docs are not looked at. An
+    empty table gives no rows.
 
     limit: buckets with more items are split further, down to max_depth nodes; those still larger (items that share
     all minhashes drawn) are compared whole, a pair of blocks at a time. recall: see repetitions.
     """
     exact = Fraction(threshold).limit_denominator(1000)
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = every.where("id IS NOT NULL")
+    source = one_row_per_id(named, "id", "text")
     sketch = materialize(
-        source.mapInArrow(lambda it: _minhash_columns(it, n), "id long, n_words long, key1 long, key2 long, sig array<int>"), "sketch"
+        source.mapInArrow(lambda it: _minhash_columns(it, n), "id long, n_words long, key1 long, key2 long, sig binary"), "sketch"
     )
     worded = sketch.where("n_words > 0")
     items = materialize(worded.groupBy("key1", "key2").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "items")
@@ -184,26 +180,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = final[0]
     for more in final[1:]:
         members = members.union(more)
-    met = distinct_buckets(members)
-    members = joined_groups(met, sigs.mapInArrow(_packed, "id long, weight long, data binary"), _minhash_matches)
-
-    needed = members.select("id")
-    sets = join_small(source, needed, "id", "left_semi").mapInArrow(lambda it: _set_columns(it, n), "id long, data binary")
-    payload = sets.join(items.select(F.col("rep").alias("id"), "weight"), "id")
-    found = materialize(compare(members, payload, jaccard_matches(exact)), "found")
-    links = found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = connected_components(found.where("v IS NOT NULL"))
-    classes = items.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    groups = joined_groups(distinct_buckets(members), sigs.withColumnRenamed("sig", "data"), _minhash_matches)
+
+    sets = join_small(source, groups.select("id"), "id", "left_semi").mapInArrow(lambda it: _set_columns(it, n), "id long, data binary")
+    links, labels = compare(groups, sets.join(items.select(F.col("rep").alias("id"), "weight"), "id"), jaccard_matches(exact))
+    classes = items.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(
         classes.select("key1", "key2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes"
     )
-    lone = sketch.where("n_words = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    out = worded.select("id", "key1", "key2").join(classes, ["key1", "key2"]).select("id", "class_id", "n_links")
-    return out.union(lone).withColumnRenamed("id", id_col)
+    none = F.lit(0).cast("long").alias("n_links")
+    lone = sketch.where("n_words = 0").select("id", F.col("id").alias("class_id"), none)
+    out = worded.select("id", "key1", "key2").join(classes, ["key1", "key2"]).select("id", "class_id", "n_links").union(lone)
+    if source is not named:
+        out = named.select("id").join(materialize(out, "results"), "id")
+    return out.union(every.where("id IS NULL").select("id", F.col("id").alias("class_id"), none)).withColumnRenamed("id", id_col)
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that are not the smallest id of their class; rows with a null id stay. Columns as they were."""
+    """docs without the rows that are not the smallest id of their class; rows with a null id stay, and rows that repeat an id stay or go together. Columns as they were."""
     classes = jaccard_join(docs, id_col, text_col, **options)
     later = materialize(classes.where(F.col("class_id") != F.col(id_col)).select(id_col), "later")
     return join_small(docs, later, id_col, "left_anti").select(*docs.columns)
