@@ -4,9 +4,9 @@ A line's tokens are its word shingles; the set of them is its value. Two sets at
 prefixes, the first few tokens of each in any total order. Lines with equal sets are joined first; then two filters
 follow, each over all that the one before it left:
 
-1. The order is that of the hash. A prefix is one token longer than needed, so that two sets at the threshold share
-   at least two of its tokens; a set stays if two of its prefix tokens are also in the prefix of a set of like size.
-   This only counts, so that no pair is formed and no token is too frequent for it.
+1. The order is that of the hash. A prefix is two tokens longer than needed, so that two sets at the threshold share
+   at least three of its tokens; a set stays if three of its prefix tokens are also in the prefix of a set of like
+   size. This only counts, so that no pair is formed and no token is too frequent for it.
 2. The order is that of rarity: tokens are counted over all sets that are left, exactly. A token that one set alone
    holds comes first and joins nothing, so that a set stays only if its share of other tokens reaches the threshold.
    Prefixes of this order are joined by length, position, and a parity bitmap that bounds the symmetric difference.
@@ -22,10 +22,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, computed_once, join_small, materialize, one_row_per_id, text_or_empty
+from .common import BROADCAST_ROWS, computed_once, discard, join_small, materialize, one_row_per_id, text_or_empty
 
 #: Prefix tokens that two sets at the threshold share at least in the first filter.
-SHARED = 2
+SHARED = 3
 #: Bits of a line number in the number of a set.
 LINE_BITS = 22
 
@@ -71,10 +71,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     digests = digests.select("doc", "line", F.xxhash64("tokens").alias("key"), F.hash("tokens").alias("check"), "n", prefix.alias("prefix"))
     digests = _numbered(materialize(digests, "lines"))
 
-    same = ["key", "check", "n"]
+    same = ["key", "check"]
     firsts = materialize(digests.groupBy(*same).agg(F.min("gid").alias("gid")), "firsts")
-    groups = digests.select("gid", "doc", "line", "n", "prefix").join(firsts.select("gid"), "gid", "left_semi")
-    matched = _matched(source, materialize(groups, "sets"), n, t)
+    sets = materialize(digests.select("gid", "doc", "line", "n", "prefix").join(firsts.select("gid"), "gid", "left_semi"), "sets")
+    likely = materialize(_likely(sets, t), "likely")
+    discard(sets)
+    matched = _matched(source, likely, n, t)
     firsts = firsts.join(matched.withColumn("matched", F.lit(True)), "gid", "left").withColumnRenamed("gid", "first")
     gone = digests.select("doc", "line", "gid", *same).join(firsts, same).where(F.col("matched") | (F.col("gid") != F.col("first")))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed")).withColumnRenamed("doc", id_col)
@@ -89,15 +91,15 @@ def _numbered(digests: DataFrame) -> DataFrame:
     return materialize(ordered.withColumn("gid", F.monotonically_increasing_id()), "numbered")
 
 
-def _likely(groups: DataFrame, t: Fraction) -> DataFrame:
-    """(doc, line, gid) of the sets in groups(gid, doc, line, n, prefix) that the first filter leaves."""
-    postings = groups.select("gid", "n", F.explode("prefix").alias("token"))
+def _likely(sets: DataFrame, t: Fraction) -> DataFrame:
+    """(doc, line, gid) of those of sets(gid, doc, line, n, prefix) that the first filter leaves."""
+    postings = sets.select("gid", "n", F.explode("prefix").alias("token"))
     held = postings.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
     like = F.col("least") * t.denominator >= F.col("most") * t.numerator  # decides for two; of more, some are taken to be alike
     held = held.where((F.col("m") > 2) | ((F.col("m") == 2) & like)).select("token")
     hits = postings.join(held, "token", "left_semi").groupBy("gid", "n").agg(F.count("*").alias("hits"))
     enough = hits.where(F.col("hits") >= F.least(F.lit(SHARED), _least_common(F.col("n"), t))).select("gid")
-    return groups.select("gid", "doc", "line").join(enough, "gid")
+    return sets.select("gid", "doc", "line").join(enough, "gid")
 
 
 def _candidate(a: str, b: str, t: Fraction) -> Column:
@@ -131,11 +133,11 @@ def _ranked(tokens: DataFrame, t: Fraction) -> DataFrame:
     return sized.join(ranked, "gid").where(F.size("ranked") >= _least_common(F.col("n"), t))
 
 
-def _matched(source: DataFrame, groups: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """(gid) of the sets in groups with an earlier set at the threshold t."""
-    likely = materialize(_likely(groups, t), "likely")
+def _matched(source: DataFrame, likely: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """(gid) of the sets in likely(doc, line, gid) with an earlier set at the threshold t."""
     tokens = materialize(_with_tokens(join_small(_split(source), likely, ["doc", "line"], "inner"), n, "gid"), "tokens")
     sets = materialize(_ranked(tokens, t), "ranked")
+    discard(tokens)
 
     alone = F.col("n") - F.size("ranked")  # tokens that come first, as no other set holds them
     prefix = F.slice("ranked", F.lit(1), F.col("n") - _least_common(F.col("n"), t) + 1 - alone)
@@ -146,7 +148,7 @@ def _matched(source: DataFrame, groups: DataFrame, n: int, t: Fraction) -> DataF
         on = (F.col("a.token") == F.col("b.token")) & _candidate("a", "b", t)
         return left.alias("a").join(right.alias("b"), on).select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"))
 
-    first = own.groupBy("token").agg(F.min(F.struct("gid", "n", "bits", "pos")).alias("f")).select("token", "f.*")
+    first = materialize(own.groupBy("token").agg(F.min(F.struct("gid", "n", "bits", "pos")).alias("f")).select("token", "f.*"), "first")
     one = near(own, first).groupBy("a").agg(F.min("b").alias("b"))
     at_first = materialize(_verified(one, sets, t), "matched")
     still = join_small(own, at_first, "gid", "left_anti")
