@@ -1,13 +1,16 @@
-"""Quality rules as SQL expressions.
-
-Each rule's cost and share of rejections are estimated on a bounded sample; the rules are then compared in the
-order of rejections per cost. The features of all rules are computed for every document first, so nothing is
-short-circuited. The verdict is the conjunction of all rules, so it depends neither on the order nor on the sample.
+"""Quality rules as a short-circuit cascade of SQL expressions.
+
+Each rule rejects by features of the text. On a hash sample of whole texts, read in one job, the rules' rejections are
+counted jointly and their costs estimated from the characters and words that their features go through. The rule with
+the most rejections per cost comes first, then that with the most among what it leaves, at the cost of the features
+not yet computed, and so on. Each rule is a filter of its own behind the features that it needs, so a document that
+one rejects is not looked at by the next. The verdict is the conjunction of all rules, so it depends neither on the
+order nor on the sample.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +20,8 @@ from .common import computed_once
 
 #: White space between words, and the symbols that are counted.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
-#: Rows of the sample, and characters of a text that the sample looks at.
-SAMPLE_ROWS, SAMPLE_CHARS = 256, 20_000
+#: Rows of the sample, about; and at most.
+SAMPLE_ROWS, SAMPLE_LIMIT = 1024, 4096
 
 
 def words(text: Column) -> Column:
@@ -58,88 +61,143 @@ def covered(p: Column) -> Column:
     )
 
 
-def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_shouts as longs (names after prefix)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    t = {k: f"__{k}" for k in ("w", "h", "s", "p")}
-    out = docs.withColumn(t["w"], words(text))
-    out = out.withColumn(t["h"], window_hashes(F.col(t["w"])))
-    out = out.withColumn(t["s"], placed(F.col(t["h"])))
-    out = out.withColumn(t["p"], repeated(F.col(t["s"])))
-    features = {
-        "n_words": F.size(t["w"]).cast("long"),
-        "word_chars": F.length(F.array_join(t["w"], "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": n_dup_lines(text),
-        "n_repeat_words": covered(F.col(t["p"])),
-        "n_shouts": F.regexp_count(text, F.lit("!!")).cast("long"),
-    }
-    return out.withColumns({prefix + k: v for k, v in features.items()}).drop(*t.values())
+@dataclass(frozen=True)
+class Feature:
+    """A column made of those in needs (TEXT: the text) by build; its cost in nanoseconds for a character and a word."""
+
+    needs: tuple[str, ...]
+    build: Callable[..., Column]
+    per_char: float
+    per_word: float
+
+
+TEXT = "text"
+#: Costs as measured on one core, text in memory; only their proportions matter.
+FEATURES: dict[str, Feature] = {
+    "words": Feature((TEXT,), words, 20, 100),
+    "windows": Feature(("words",), window_hashes, 0, 900),
+    "places": Feature(("windows",), placed, 0, 700),
+    "repeats": Feature(("places",), repeated, 0, 50),
+    "n_words": Feature(("words",), lambda w: F.size(w).cast("long"), 0, 0),
+    "word_chars": Feature(("words",), lambda w: F.length(F.array_join(w, "")).cast("long"), 2, 10),
+    "n_symbols": Feature((TEXT,), lambda t: F.regexp_count(t, F.lit(SYMBOLS)).cast("long"), 9, 0),
+    "n_dup_lines": Feature((TEXT,), n_dup_lines, 6, 0),
+    "n_repeat_words": Feature(("repeats",), covered, 0, 10),
+    "n_shouts": Feature((TEXT,), lambda t: F.regexp_count(t, F.lit("!!")).cast("long"), 8, 0),
+}
 
 
 @dataclass(frozen=True)
 class Rule:
+    """rejects: a condition on the columns of the features, in their order."""
+
     name: str
     features: tuple[str, ...]
-    rejects: str
+    rejects: Callable[..., Column]
 
 
 #: The base rules are the first two.
 RULES = (
-    Rule("short", ("n_words",), "{n_words} < 50"),
-    Rule("repeats", ("n_words", "n_repeat_words"), "100 * {n_repeat_words} > 50 * {n_words}"),
-    Rule("symbols", ("n_words", "n_symbols"), "10 * {n_symbols} > {n_words}"),
-    Rule("shouts", ("n_words", "n_shouts"), "10 * {n_shouts} > {n_words}"),
-    Rule("word length", ("n_words", "word_chars"), "{word_chars} < 2 * {n_words} OR {word_chars} > 16 * {n_words}"),
-    Rule("repeated lines", ("n_words", "n_dup_lines"), "10 * {n_dup_lines} > {n_words}"),
+    Rule("short", ("n_words",), lambda n: n < 50),
+    Rule("repeats", ("n_words", "n_repeat_words"), lambda n, r: 100 * r > 50 * n),
+    Rule("symbols", ("n_words", "n_symbols"), lambda n, s: 10 * s > n),
+    Rule("shouts", ("n_words", "n_shouts"), lambda n, s: 10 * s > n),
+    Rule("word length", ("n_words", "word_chars"), lambda n, c: (c < 2 * n) | (c > 16 * n)),
+    Rule("repeated lines", ("n_words", "n_dup_lines"), lambda n, d: 10 * d > n),
 )
 BASE = ("short", "repeats")
+#: Columns that the registered query returns for every row.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_OWN = "__rules_"
+
+
+def _needed(names: Iterable[str], features: dict[str, Feature], have: set[str]) -> list[str]:
+    """names and what they are made of, without have, in the order in which they can be computed."""
+    out: list[str] = []
+    for name in names:
+        if name != TEXT and name not in have and name not in out:
+            out += [x for x in _needed(features[name].needs, features, have | set(out))] + [name]
+    return out
 
 
-def _rejects(rule: Rule, prefix: str = "") -> Column:
-    return F.expr(rule.rejects.format(**{f: f"`{prefix}{f}`" for f in rule.features}))
+def _with(df: DataFrame, names: Iterable[str], features: dict[str, Feature], have: set[str]) -> DataFrame:
+    """df with the features, as columns whose names start with _OWN; have is brought up to date."""
+    for name in _needed(names, features, have):
+        df = df.withColumn(_OWN + name, features[name].build(*[F.col(_OWN + x) for x in features[name].needs]))
+        have.add(name)
+    return df
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> list[Rule]:
-    """rules by rejections per second on the first rows of docs, most first; ties and empty tables keep their order."""
-    rows = docs.select(F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
-    if not rows:
-        return list(rules)
-    sample = docs.sparkSession.createDataFrame(rows, "text string")
-    worth = {}
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = with_features(sample).select(F.count_if(_rejects(rule)).alias("n")).first()["n"]
-        worth[rule.name] = rejected / (time.perf_counter() - began)
-    return sorted(rules, key=lambda r: -worth[r.name])
+def _with_text(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn(_OWN + TEXT, F.coalesce(F.col(text_col), F.lit("")))
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, prefix: str = "") -> DataFrame:
-    """docs with its features (names after prefix), base_failed and kept.
+def _rejects(rule: Rule, inline: dict[str, Column] | None = None) -> Column:
+    """The rule's condition, false for null, on columns of features but for those that inline has."""
+    columns = {f: F.col(_OWN + f) for f in rule.features} | (inline or {})
+    return F.coalesce(rule.rejects(*[columns[f] for f in rule.features]), F.lit(False))
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", features: dict[str, Feature] = FEATURES) -> list[Rule]:
+    """rules by rejections per cost on a sample, each among what those before it leave; ties keep their order.
+
+    The sample takes rows by a hash of their simple columns, about SAMPLE_ROWS of them, texts whole.
+    """
+    simple = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    share = max(1, docs.count() // SAMPLE_ROWS)
+    sample = docs.where(F.pmod(F.xxhash64(*simple), F.lit(share)) == 0).select(F.col(text_col).alias(TEXT)).limit(SAMPLE_LIMIT)
+    have: set[str] = set()
+    found = _with(_with_text(sample, TEXT), [*dict.fromkeys(f for r in rules for f in r.features), "n_words"], features, have)
+    verdicts = [_rejects(r).alias(f"r{k}") for k, r in enumerate(rules)]
+    found = found.select(*verdicts, F.length(_OWN + TEXT).alias("chars"), F.col(_OWN + "n_words").alias("n"))
+    kinds = found.groupBy(*[f"r{k}" for k in range(len(rules))]).agg(F.count("*").alias("rows"), F.sum("chars").alias("chars"), F.sum("n").alias("n")).collect()  # 2 ** rules at most
+
+    ordered: list[Rule] = []
+    done: set[str] = set()
+    while len(ordered) < len(rules):
+        chars, n = sum(k["chars"] for k in kinds), sum(k["n"] for k in kinds)
+
+        def worth(rule: Rule) -> float:
+            cost = sum(features[f].per_char * chars + features[f].per_word * n for f in _needed(rule.features, features, done))  # noqa: B023
+            return sum(k["rows"] for k in kinds if k[f"r{rules.index(rule)}"]) / (cost + 1)  # noqa: B023
+
+        best = max((r for r in rules if r not in ordered), key=worth)
+        ordered.append(best)
+        done |= set(_needed(best.features, features, done))
+        kinds = [k for k in kinds if not k[f"r{rules.index(best)}"]]
+    return ordered
+
+
+def apply_rules(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with the features REPORTED (names after prefix), base_failed and kept, in place of columns of these names.
 
     Words are runs of characters other than space and U+0009 to U+000D; a null or empty text has none, so the rule
-    for short texts rejects it. n_dup_lines: lines with a word equal to an earlier one; n_repeat_words: words in
-    3-word windows that the text has twice or more, by a 64-bit hash of the window. base_failed: a base rule rejects;
-    kept: no rule does. Rows are independent: equal rows get equal verdicts, and all columns of docs stay.
+    for short texts rejects it; texts of any length are taken whole. n_dup_lines: lines with a word equal to an earlier
+    one; n_repeat_words: words in 3-word windows that the text has twice or more, by a 64-bit hash of the window.
+    base_failed: a base rule rejects; kept: no rule does. The features REPORTED are computed for every row; other
+    features only where no rule earlier in the cascade rejects. Rows are independent, ids are not looked at: rows that
+    repeat get equal verdicts. An empty table gives no rows.
     """
-    ordered = order_rules(docs, rules, text_col)
-    kept = F.when(F.col(f"{prefix}base_failed"), False)
-    for rule in ordered:
-        if rule.name not in BASE:
-            kept = kept.when(_rejects(rule, prefix), False)
+    have: set[str] = set()
+    out = _with(_with_text(docs, text_col), REPORTED, FEATURES, have)
     base = F.lit(False)
-    for rule in (r for r in ordered if r.name in BASE):
-        base = base | _rejects(rule, prefix)
-    return with_features(docs, text_col, prefix).withColumn(f"{prefix}base_failed", base).withColumn(f"{prefix}kept", kept.otherwise(True))
-
-
-def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that no rule rejects, with their columns as they were."""
-    featured = with_features(docs, text_col, "__q_")
-    passes = F.lit(True)
-    for rule in order_rules(docs, rules, text_col):
-        passes = passes & ~_rejects(rule, "__q_")
-    return computed_once(featured, passes).select(*docs.columns)
+    for rule in (r for r in RULES if r.name in BASE):
+        base = base | _rejects(rule)
+    kept = F.when(base, False)
+    for rule in (r for r in order_rules(docs, RULES, text_col) if r.name not in BASE):
+        # the branches of a condition are evaluated in turn, so what is inlined here only where none before it holds
+        late = {f: FEATURES[f].build(F.col(_OWN + TEXT)) for f in rule.features if f not in have}
+        kept = kept.when(_rejects(rule, late), False)
+    columns = {prefix + f: F.col(_OWN + f) for f in REPORTED} | {f"{prefix}base_failed": base, f"{prefix}kept": kept.otherwise(True)}
+    return out.withColumns(columns).drop(*[_OWN + f for f in [TEXT, *have]])
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, features: dict[str, Feature] = FEATURES) -> DataFrame:
+    """The rows of docs that no rule rejects, with their columns as they were; a filter for each rule, in the order of the cascade."""
+    out, have = _with_text(docs, text_col), set()
+    for rule in order_rules(docs, rules, text_col, features):
+        out = computed_once(_with(out, rule.features, features, have), ~_rejects(rule))
+    return out.select(*docs.columns)
 
 
 #: The features and rules in DuckDB SQL, over documents(doc_id, text).
