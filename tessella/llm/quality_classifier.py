@@ -1,10 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two bag models of hashed n-grams (words and runs of symbols, and pairs of neighbours) are fitted: one on target
-text, documents labelled as good, and one on the raw text, all documents. A document's log ratio under the two,
-per n-gram so that length does not count, plus Gumbel noise is its key, and the top k keys are kept: a sample
-without replacement by importance weight. k is the number of documents whose ratio is above a threshold, chosen on
-labelled documents that the target model has not seen.
+text, documents labelled as good, and one on the raw text, all documents. The sum of the log ratios of a document's
+n-grams under the two is the log of its importance weight. With Gumbel noise added it is the document's key, and the
+k largest keys are kept: a sample of k documents without replacement by importance weight.
 """
 
 from __future__ import annotations
@@ -21,10 +20,8 @@ from .texthash import chunks, mix, word_hashes
 
 #: Hash buckets of single tokens, and as many of pairs, the last for a token that follows itself.
 BUCKETS = 1 << 13
-#: Labelled documents used, of which every third is held out for the threshold; pseudo-counts per bucket.
+#: Labelled documents used; pseudo-counts per bucket.
 LABELLED, SMOOTHING = 20_000, 10.0
-#: Scale of the noise in units of the log ratio per n-gram, and how much worse losing a good document is than keeping a bad one.
-TEMPERATURE, GOOD_WEIGHT = 1e-4, 4.0
 #: Keys that the last step of the top-k selection may read at once.
 LAST = 1024
 
@@ -47,43 +44,41 @@ def _count(batches: Iterator[pa.RecordBatch], target: np.ndarray) -> Iterator[pa
     """Counts of the buckets in all documents and in those with the ids in target, once per task."""
     raw, good = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
     for batch in sliced(batches):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+        named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         for first, part in chunks(batch.column(1).to_pylist()):
             doc, bucket = features(part)
             raw += np.bincount(bucket, minlength=2 * BUCKETS)
-            chosen = np.isin(ids[first : first + len(part)], target)
+            chosen = np.isin(ids[first : first + len(part)], target) & named[first : first + len(part)]
             if chosen.any():
                 good += np.bincount(bucket[chosen[doc]], minlength=2 * BUCKETS)
     some = np.flatnonzero(raw)
     yield pa.record_batch([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "target"])
 
 
+def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Standard Gumbel noise, a function of id and seed."""
+    with np.errstate(over="ignore"):
+        u = ((mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    return -np.log(-np.log(u))
+
+
+def log_weights(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of every bucket from its counts in the raw and the target text; 0 without target text."""
+    prior = SMOOTHING * len(raw) * raw / max(raw.sum(), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weight = np.log((target + prior) / (target.sum() + prior.sum())) - np.log(raw / raw.sum())
+    return np.where(np.isfinite(weight), weight, 0.0) if target.any() else np.zeros(len(raw))
+
+
 def _scores(batches: Iterator[pa.RecordBatch], weight: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
         score = np.zeros(batch.num_rows)
         for first, part in chunks(batch.column(1).to_pylist()):
             doc, bucket = features(part)
-            n = np.bincount(doc, minlength=len(part))
-            score[first : first + len(part)] = np.bincount(doc, weight[bucket], len(part)) / np.maximum(n, 1)
-        with np.errstate(over="ignore"):
-            u = ((mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
-        yield pa.record_batch([batch.column(0), pa.array(score), pa.array(score + TEMPERATURE * -np.log(-np.log(u)))], names=["id", "log_ratio", "key"])
-
-
-def choose_threshold(score: np.ndarray, good: np.ndarray) -> float:
-    """The threshold (keep: score >= it) with the least weighted error rate; without bad examples, none."""
-    if not len(score) or good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(score, kind="stable")
-    score, good = score[order], good[order]
-    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    kept = 1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    free = np.concatenate([[True], score[1:] > score[:-1], [True]])
-    i = int(np.argmin(np.where(free, GOOD_WEIGHT * lost + kept, np.inf)))
-    if i == 0:
-        return -np.inf
-    return float(score[-1] + 1 if i == len(score) else (score[i - 1] + score[i]) / 2)
+            score[first : first + len(part)] = np.bincount(doc, weight[bucket], len(part))
+        yield pa.record_batch([batch.column(0), pa.array(score), pa.array(score + gumbel(ids, seed))], names=["id", "log_weight", "key"])
 
 
 def key_of_rank(keys: DataFrame, k: int) -> float:
@@ -106,43 +101,38 @@ def key_of_rank(keys: DataFrame, k: int) -> float:
     return rows[k - above - 1]["key"]
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11) -> DataFrame:
-    """(id, log_ratio, key, kept) of every row of docs with an id.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", budget: int | None = None, seed: int = 11) -> DataFrame:
+    """(id, log_weight, key, kept) of every row of docs.
 
-    labels(id, quality 0 or 1): the LABELLED rows with the smallest hashes of their ids are used; rows with a null
-    are not, and of several labels of an id the smallest counts. Without good or without bad labelled documents, or
-    in an empty table, all is kept. A null, empty or blank text has no n-grams and a log ratio of 0. Rows with
-    equal ids are scored each on its own. Documents with equal keys at the cut are all kept; equal texts differ in
-    their noise only. Other columns are not looked at.
+    labels(id, quality 0 or 1): the target text is that of documents with quality 1 among the LABELLED rows with the
+    smallest hashes of their ids; rows with a null do not count, and of several labels of an id the smallest does.
+    budget: k, the rows to keep; None for as many as have an importance weight of 1 or more (their text is at least as
+    likely under the target model as under the raw one), or for the share that is good among the labelled rows, if
+    that is more. Without target text all weights are 1 and all is kept. A null, empty or blank text has no n-grams and a weight of 1; texts of any length are taken whole. Rows
+    that repeat an id are scored each on its own with equal noise, rows with a null id with that of -1. Documents with
+    equal keys at the cut are all kept. Other columns are not looked at. An empty table gives no rows.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("good")).dropna()
     named = named.groupBy("id").agg(F.min("good").alias("good"))
-    labelled = {r["id"]: r["good"] for r in named.orderBy(F.xxhash64("id"), "id").limit(LABELLED).collect()}
-    ids = np.array(list(labelled), np.int64)
-    target = np.array([i for n, i in enumerate(labelled) if n % 3 and labelled[i] == 1], np.int64)
-    held = {i: labelled[i] for n, i in enumerate(labelled) if n % 3 == 0}
+    labelled = named.orderBy(F.xxhash64("id"), "id").limit(LABELLED).collect()
+    target = np.array([r["id"] for r in labelled if r["good"] == 1], np.int64)
 
     counts = rows.mapInArrow(lambda it: _count(it, target), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, good = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
     for r in counts.collect():  # as many rows as buckets at most
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["target"]
-    prior = SMOOTHING * 2 * BUCKETS * raw / max(raw.sum(), 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        weight = np.log((good + prior) / (good.sum() + prior.sum())) - np.log(raw / raw.sum())
-    weight[~np.isfinite(weight)] = 0
-
-    scored = materialize(rows.mapInArrow(lambda it: _scores(it, weight, seed), "id long, log_ratio double, key double"), "scores")
-    sample = docs.sparkSession.createDataFrame([(int(i),) for i in ids if int(i) in held], "id long")
-    seen = scored.join(F.broadcast(sample), "id", "left_semi").limit(LABELLED).collect() if held else []
-    threshold = choose_threshold(np.array([r["log_ratio"] for r in seen]), np.array([held[r["id"]] == 1 for r in seen], bool))
-    k = scored.where(F.col("log_ratio") >= threshold).count()
-    cut = key_of_rank(scored, k) if k else np.inf
+    weight = log_weights(raw, good)
+    scored = materialize(rows.mapInArrow(lambda it: _scores(it, weight, seed), "id long, log_weight double, key double"), "scores")
+    n, heavy = scored.agg(F.count("*"), F.count_if(F.col("log_weight") >= 0)).first()
+    expected = -(-n * len(target) // max(1, len(labelled)))
+    k = min(n, max(heavy, expected) if budget is None else budget)
+    cut = -np.inf if k == n else key_of_rank(scored, k) if k else np.inf
     return scored.withColumn("kept", F.col("key") >= F.lit(float(cut))).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that the classifier rejects; rows with a null id stay. Columns as they were."""
+    """docs without the rows that the classifier rejects; rows with a null id stay, rows that repeat an id go if one of them is rejected. Columns as they were."""
     verdict = classify(docs, labels, id_col, text_col, **options)
     rejected = materialize(verdict.where("NOT kept").select(id_col), "rejected")
     return join_small(docs, rejected, id_col, "left_anti").select(*docs.columns)
