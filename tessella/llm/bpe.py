@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Chunks and pre-tokens that a worker keeps, twice (a young and an old generation).
-CACHE = 100_000
-#: Characters of the texts encoded at once, and pre-tokens indexed at once.
-BATCH_CHARS, BATCH_WORDS = 4_000_000, 100_000
+#: Entries and bytes of a generation of a cache, of which a worker keeps two, young and old; an entry takes ENTRY bytes besides its key and value.
+CACHE, CACHE_BYTES, ENTRY = 60_000, 12_000_000, 120
+#: Characters of the texts or pieces encoded at once, and pre-tokens indexed at once.
+BATCH_CHARS, BATCH_WORDS = 1_000_000, 50_000
+_SPACE = regex.compile(r"[^\S\x1c-\x1f]")
 #: White space of str.split() that is not white space to the tokenizer.
 _FALSE_SPACE = "\x1c\x1d\x1e\x1f"
 _CHUNK = regex.compile(r"(?:[^\s]|[\x1c-\x1f])+")
@@ -41,18 +42,23 @@ def byte_symbols() -> dict[int, str]:
 class Cache:
     """A dict of bounded size: when the young generation is full it becomes the old one, whose entries come back on use."""
 
-    def __init__(self, size: int = CACHE):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int = CACHE, most: int = CACHE_BYTES):
+        self.size, self.most, self.young, self.old, self.bytes = size, most, {}, {}, 0
 
     def missing(self, keys: set) -> list:
         """Keys without a value; those of keys that have one are in young afterwards. Turns generations at most once, before."""
-        if len(self.young) >= self.size:
-            self.young, self.old = {}, self.young
+        if len(self.young) >= self.size or self.bytes >= self.most:
+            self.young, self.old, self.bytes = {}, self.young, 0
         new = keys - self.young.keys()
         known = new & self.old.keys()
-        self.young.update((k, self.old[k]) for k in known)
+        self.put(known, [self.old[k] for k in known])
         return list(new - known)
 
+    def put(self, keys: Iterable, values: Sequence) -> None:
+        before = len(self.young)
+        self.young.update(zip(keys, values, strict=True))
+        self.bytes += (len(self.young) - before) * ENTRY + sum(map(len, keys)) + (sum(map(len, values)) if values and isinstance(values[0], bytes) else 0)
+
 
 class WordBpe:
     def __init__(self, path: str):
@@ -168,7 +174,7 @@ class WordBpe:
         for lo in range(0, len(new), BATCH_WORDS):
             some = [w for w in new[lo : lo + BATCH_WORDS] if w != "\n"]
             if some:
-                self.words.young.update(zip(some, self.encode_words(some), strict=True))
+                self.words.put(some, self.encode_words(some))
         # an id has zeros in its upper bytes, so that the mark is found at ends of chunks only
         out = b"".join(map(self.words.young.__getitem__, words)).split(_MARK)
         for i, ids in special.items():
@@ -182,29 +188,43 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: empty), as little-endian unsigned 32-bit integers."""
-        for part in batches(texts):
-            split = [self.split(t) for t in part]
+        parts: list[bytes] = []
+        for pieces in batches(texts):
+            split = [self.split(t) for t, _ in pieces]
             self.learn(split)
             get = self.chunks.young.__getitem__
-            for s in split:
-                yield b"".join(map(get, s))
+            for s, (_, last) in zip(split, pieces, strict=True):
+                parts.append(b"".join(map(get, s)))
+                if last:
+                    yield b"".join(parts)
+                    parts = []
 
     def learn(self, split: list[list[str]]) -> None:
         new = self.chunks.missing(set().union(*split))
         for lo in range(0, len(new), BATCH_WORDS):
             some = new[lo : lo + BATCH_WORDS]
-            self.chunks.young.update(zip(some, self.encode_chunks(some), strict=True))
+            self.chunks.put(some, self.encode_chunks(some))
+
+
+def pieces_of(text: str) -> Iterator[tuple[str, bool]]:
+    """(piece, whether it is the last) of a text: whole, or cut at white space after about BATCH_CHARS characters each."""
+    at = 0
+    while len(text) - at > BATCH_CHARS and (m := _SPACE.search(text, at + BATCH_CHARS)):
+        yield text[at : m.start()], False
+        at = m.start()
+    yield text[at:] if at else text, True
 
 
-def batches(texts: list[str | None]) -> Iterator[list[str]]:
+def batches(texts: list[str | None]) -> Iterator[list[tuple[str, bool]]]:
+    """The pieces of the texts (null: empty), in lists of about BATCH_CHARS characters."""
     part, have = [], 0
     for t in texts:
-        t = t or ""
-        if part and have + len(t) > BATCH_CHARS:
-            yield part
-            part, have = [], 0
-        part.append(t)
-        have += len(t)
+        for piece, last in pieces_of(t or ""):
+            if part and have + len(piece) > BATCH_CHARS:
+                yield part
+                part, have = [], 0
+            part.append((piece, last))
+            have += len(piece)
     if part:
         yield part
 

@@ -28,7 +28,8 @@ class Decoder:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the ids of every whole text, as the tokenizers library gives them without special tokens added.
 
-    A null or empty text has no ids. One row per row of docs, whatever its id; other columns are not looked at.
+    A null or empty text has no ids; texts of any length are taken whole. One row per row of docs, whatever its id,
+    repeated or null; other columns are not looked at. An empty table gives no rows.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +57,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text, in one pass and without a shuffle.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8. The
-    decoded text is put together from the ids of the text's chunks. Nulls, rows and columns as in encode.
+    decoded text is put together from the ids of the text's chunks, a piece of a long text at a time. Nulls, rows
+    and columns as in encode.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,18 +66,24 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         decoder = Decoder(bpe)
         for batch in sliced(it):
             rows: tuple[list, list, list] = ([], [], [])
-            for texts in batches(batch.column(1).to_pylist()):
-                split = [bpe.split(t) for t in texts]
+            n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
+            for pieces in batches(batch.column(1).to_pylist()):
+                split = [bpe.split(t) for t, _ in pieces]
                 bpe.learn(split)
                 ids_of = bpe.chunks.young
-                for c in decoder.cache.missing(set().union(*split)):
-                    decoder.cache.young[c] = decoder(ids_of[c]).encode()
+                new = decoder.cache.missing(set().union(*split))
+                decoder.cache.put(new, [decoder(ids_of[c]).encode() for c in new])
                 ids_get, text_get = ids_of.__getitem__, decoder.cache.young.__getitem__
-                for s in split:
+                for s, (_, last) in zip(split, pieces, strict=True):
                     ids = b"".join(map(ids_get, s))
-                    rows[0].append(len(ids) // 4)
-                    rows[1].append(hashlib.sha256(ids).hexdigest())
-                    rows[2].append(hashlib.sha256(b" ".join(map(text_get, s))).hexdigest())
+                    text_digest.update((b" " if n and s else b"") + b" ".join(map(text_get, s)))
+                    ids_digest.update(ids)
+                    n += len(ids) // 4
+                    if last:
+                        rows[0].append(n)
+                        rows[1].append(ids_digest.hexdigest())
+                        rows[2].append(text_digest.hexdigest())
+                        n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
