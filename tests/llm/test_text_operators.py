@@ -1,10 +1,12 @@
 """Operators on documents against brute-force versions, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -93,6 +95,23 @@ def test_ngram_join(docs, rows, empty):
     kept = ngram_join.keep_one_per_class(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(component.values())
     assert ngram_join.jaccard_join(empty).collect() == []
+    more = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(None, rows[0][1]), (4, None), (4, rows[4][1]), (4, "z")], "doc_id long, text string"))
+    again = ngram_join.jaccard_join(more).collect()
+    assert len(again) == len(rows) + 4 and all(tuple(r) == (tuple(got[r.doc_id]) if r.doc_id is not None else (None, None, 0)) for r in again)
+
+
+def test_ngram_join_of_groups_larger_than_blocks(spark, monkeypatch):
+    from tessella.llm import bucketjoin
+
+    rng = random.Random(7)
+    hot = text(rng, 80).split()
+    texts = [" ".join([*hot[: i % 80], f"n{i}", *hot[i % 80 :]]) for i in range(240)]
+    monkeypatch.setattr(bucketjoin, "BLOCK", 50)
+    sets = [shingles(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_join(df).collect()}
+    links = {i: sum(close(sets[i], s) for j, s in enumerate(sets) if j != i) for i in range(240)}
+    assert got == {i: (0, n) for i, n in links.items()} and min(links.values()) > 0
 
 
 def test_ngram_join_of_short_texts_in_large_buckets(spark):
@@ -131,6 +150,25 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.line_counts(empty).collect() == []
 
 
+def test_line_dedup_of_many_near_lines(spark):
+    rng = random.Random(3)
+    passage, rows = text(rng, 60).split(), []
+    for i in range(120):  # near copies of one line, lines that hold most of it, and others
+        near = [*passage[: i % 60], f"x{i}", *passage[i % 60 + 1 :]]
+        held = text(rng, 8 + i % 30).split() + passage[: 20 + i % 41]
+        rows.append((i, "\n".join([" ".join(near), " ".join(held), text(rng, 4 + i % 9)])))
+    expected = brute_removed(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()} == expected and len(expected) > 100
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    line = "one two three four five six seven"
+    df = spark.createDataFrame([(1, f"a\n{line}"), (1, f"a\n{line}"), (1, "b"), (2, line), (2, line), (None, line)], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()} == {2: [0]}
+    assert sorted((r.doc_id or 0, r.text) for r in line_dedup.without_lines(df, line_dedup.removed_lines(df)).collect()) == [(0, line), (1, f"a\n{line}"), (1, f"a\n{line}"), (1, "b"), (2, ""), (2, "")]
+
+
 def test_line_dedup_with_ids_that_do_not_fit(spark):
     line = "one two three four five six seven"
     df = spark.createDataFrame([(-3, line), (2**61, f"x\n{line}"), (None, line)], "doc_id long, text string")
@@ -240,6 +278,9 @@ def test_quality_rules(spark, docs, rows, empty):
     expected = {r[0]: r for r in duckdb.sql(quality_rules.SQL).fetchall()}
     assert len(documents) and {i: got[i] for i in expected} == expected
     assert [got[i][-1] for i in (1000, 1001, 1002, 1003)] == [False, False, False, True]
+    orders = [r.name for r in quality_rules.order_rules(df)]
+    assert orders == [r.name for r in quality_rules.order_rules(df.repartition(3))] and sorted(orders) == sorted(r.name for r in quality_rules.RULES)
+    assert quality_rules.order_rules(empty) == list(quality_rules.RULES)
     assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == {i for i, r in got.items() if r[-1]}
     assert quality_rules.keep_good(df).columns == df.columns and quality_rules.apply_rules(empty).collect() == []
     for i, t in rows:
@@ -248,6 +289,24 @@ def test_quality_rules(spark, docs, rows, empty):
         assert got[i][5] == len({k + d for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for d in range(3)})
 
 
+def test_rules_are_short_circuited(spark):
+    """The feature of a later rule is computed for no row that an earlier one rejects."""
+    costly = quality_rules.Feature(("text",), lambda t: F.when(F.length(t) >= 4, F.length(t)).otherwise(F.raise_error(F.lit("looked at")).cast("int")), 1e6, 0)
+    cheap = quality_rules.Feature(("text",), F.length, 1, 0)
+    features = quality_rules.FEATURES | {"cheap": cheap, "costly": costly}
+    rules = (quality_rules.Rule("costly", ("costly",), lambda n: n > 6), quality_rules.Rule("cheap", ("cheap",), lambda n: n < 4))
+    df = spark.createDataFrame([(i, "x" * (i % 9)) for i in range(90)], "doc_id long, text string")
+    ordered = quality_rules.order_rules(df.where("length(text) >= 4").union(spark.createDataFrame([(1000 + i, "yyyy") for i in range(9)], df.schema)), rules, features=features)
+    assert [r.name for r in ordered] == ["costly", "cheap"]  # nothing is short there, so only the costly rule rejects
+    spark_order = quality_rules.order_rules
+    quality_rules.order_rules = lambda docs, rules, *rest: [rules[1], rules[0]]
+    try:
+        kept = {len(r.text) for r in quality_rules.keep_good(df, rules=rules, features=features).collect()}
+    finally:
+        quality_rules.order_rules = spark_order
+    assert kept == {4, 5, 6}
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = random.Random(4)
     good = [text(rng, 80) for _ in range(150)]
@@ -260,6 +319,37 @@ def test_quality_classifier(spark, docs, empty):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
     assert quality_classifier.classify(empty, labels).collect() == []
     assert all(r.kept for r in quality_classifier.classify(docs, labels.where("false")).collect())
+    more = spark.createDataFrame([(None, "w1 w2"), (5, "again"), (5, "again")], "doc_id long, text string")
+    assert len(quality_classifier.classify(df.union(more), labels).collect()) == 215
+
+
+def test_importance_resampling_against_brute_force(spark, rows):
+    some = [(i, t) for i, t in rows if t]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in some if i % 2], "doc_id long, quality int")
+    counts = {}
+    for i, t in some:
+        counts[i] = np.bincount(quality_classifier.features([t])[1], minlength=2 * quality_classifier.BUCKETS)
+    raw, good = sum(counts.values()), sum(c for i, c in counts.items() if i % 2 and i % 3 > 0)
+    rate = raw / raw.sum()
+    target = (good + 10.0 * len(raw) * rate) / (good.sum() + 10.0 * len(raw))
+    for budget in (None, 1, 60, 10**6):
+        got = {r.doc_id: r for r in quality_classifier.classify(df, labels, budget=budget).collect()}
+        logs = {i: sum(n * (math.log(target[b]) - math.log(rate[b])) for b, n in enumerate(c) if n) for i, c in counts.items()}
+        assert all(abs(got[i].log_weight - logs[i]) < 1e-6 * max(1, abs(logs[i])) for i in logs)
+        keys = {i: got[i].log_weight + float(quality_classifier.gumbel(np.array([i]), 11)[0]) for i in logs}
+        assert all(abs(got[i].key - keys[i]) < 1e-9 * max(1, abs(keys[i])) for i in keys)
+        share = Fraction(sum(i % 3 > 0 for i in logs if i % 2), sum(i % 2 for i in logs))
+        k = max(sum(got[i].log_weight >= 0 for i in logs), math.ceil(share * len(logs))) if budget is None else min(budget, len(logs))
+        assert {i for i in got if got[i].kept} == set(sorted(keys, key=lambda i: -got[i].key)[:k])
+
+
+def test_gumbel_top_k_samples_by_weight():
+    weights = np.array([8.0, 4, 2, 1, 1])
+    first = np.zeros(5)
+    for seed in range(4000):
+        first[np.argmax(np.log(weights) + quality_classifier.gumbel(np.arange(5), seed * 977))] += 1
+    assert np.abs(first / 4000 - weights / weights.sum()).max() < 0.03
 
 
 def test_rank_by_histogram(spark):
@@ -268,7 +358,6 @@ def test_rank_by_histogram(spark):
     keys = spark.createDataFrame([(v,) for v in values], "key double").cache()
     for k in (1, 2, 700, 2600, 6999, 7000):
         assert quality_classifier.key_of_rank(keys, k) == sorted(values, reverse=True)[k - 1]
-    assert quality_classifier.choose_threshold(np.array([1.0, 2, 3, 4]), np.array([False, False, True, True])) == 2.5
 
 
 def test_sharding(docs, rows, empty):
