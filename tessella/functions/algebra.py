@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.schema import Key, Kind, Schema, SchemaError, Val
 
@@ -28,16 +29,18 @@ class Plus:
     name: str
     identity: Any
     aggregate: Callable[[Column], Column] = field(compare=False)
+    #: The values of a group are gathered, so that groups are summed in parts of bounded size first.
+    gathers: bool = False
 
     @staticmethod
     def of(name: str, identity: Any, plus: Callable[[Column, Column], Column]) -> Plus:
-        """Any commutative, associative function of two columns. The values of a group are gathered into an array, so prefer a built-in one for large groups."""
+        """Any commutative, associative function of two columns. Values are gathered into arrays, in parts of bounded size, so a built-in one is faster."""
 
         def aggregate(c: Column) -> Column:
             values = F.transform(F.collect_list(F.struct(c.alias("x"))), lambda s: s["x"])  # structs, as null values would be dropped
             return F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.get(values, 0), plus)
 
-        return Plus(name, identity, aggregate)
+        return Plus(name, identity, aggregate, True)
 
     @staticmethod
     def python(name: str, identity: Any, plus: Callable[[Any, Any], Any], spark_type: str) -> Plus:
@@ -55,7 +58,16 @@ class Plus:
     def with_identity(self, identity: Any) -> Plus:
         """The same addition with another neutral value: it is left out, and is the sum where nothing else is."""
         inner = self.aggregate
-        return Plus(self.name, identity, lambda c: F.coalesce(inner(F.when(~c.eqNullSafe(F.lit(identity)), c)), F.lit(identity)))
+        return Plus(self.name, identity, lambda c: F.coalesce(inner(F.when(~c.eqNullSafe(F.lit(identity)), c)), F.lit(identity)), self.gathers)
+
+    def verify_identity(self, kind: Kind, values: Iterable[Any] = ()) -> None:
+        """Check on values, and on the identity itself, that adding the identity changes nothing; one small job."""
+        tried = list(dict.fromkeys([self.identity, *values]))
+        data = [(n, v) for n, v in enumerate(tried) for v in (v, self.identity)]
+        df = SparkSession.active().createDataFrame(data, T.StructType([T.StructField("n", T.LongType()), T.StructField("v", kind.spark)]))
+        for r in df.groupBy("n").agg(self.aggregate(F.col("v")).cast(kind.spark).alias("s")).collect():
+            if r["s"] != tried[r["n"]]:
+                raise SchemaError(f"{self.name}: {self.identity!r} is no identity, as {tried[r['n']]!r} becomes {r['s']!r}")
 
 
 def total(name: str = "+", identity: Any = 0) -> Plus:
@@ -100,6 +112,14 @@ class Times:
 
         return Times(name, left, right, kind, product, zero)
 
+    def verify_annihilator(self, left_kind: Kind, right_kind: Kind, lefts: Iterable[Any] = (), rights: Iterable[Any] = ()) -> None:
+        """Check on values, and on the annihilators themselves, that a product with an annihilator is zero; one small job."""
+        pairs = [(a, self.right) for a in [self.left, *lefts]] + [(self.left, b) for b in rights]
+        df = SparkSession.active().createDataFrame(pairs, T.StructType([T.StructField("a", left_kind.spark), T.StructField("b", right_kind.spark)]))
+        for r in df.select("a", "b", self.times(F.col("a"), F.col("b")).cast(self.kind.spark).alias("c")).collect():
+            if r["c"] != self.zero:
+                raise SchemaError(f"{self.name}: {r['a']!r} times {r['b']!r} is {r['c']!r}, not {self.zero!r}")
+
     @staticmethod
     def of_nulls(name: str, kind: Kind, times: Callable[[Column, Column], Column]) -> Times:
         """times, but null where an input is null."""
@@ -142,6 +162,13 @@ def check_times(times: Times, left: Val, right: Val) -> None:
         raise SchemaError(f"{times.name}: annihilators {times.left!r}, {times.right!r} are not the defaults {left.default!r}, {right.default!r} of {left.name}")
 
 
+def reduced(values: Column, default: Any = None, plus: Callable[[Column, Column], Column] | None = None) -> Column:
+    """One value of an array: its elements by plus, default if there are none (None: an error); without plus, more than one is an error."""
+    none = F.raise_error(F.lit("a value is missing and has no default")) if default is None else F.lit(default)
+    many = F.raise_error(F.lit("one value was expected")) if plus is None else F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.get(values, 0), plus)
+    return F.when(F.size(values) > 1, many).otherwise(F.when(F.size(values) == 1, F.get(values, 0)).otherwise(none))
+
+
 def keep_where(name: str, vals: Iterable[Val], predicate: Callable[[Mapping[str, Column]], Column]) -> Map:
     """The filter of the algebra: rows outside the predicate get default values and stay."""
     vals = tuple(vals)

@@ -91,12 +91,13 @@ def parse_switches(s: str) -> frozenset[str]:
     return frozenset(s)
 
 
-def covariance(a: DataFrame, b: DataFrame, switches: str = "none", bin_size: int = 60_000, least: int = 0, most: int = 2**63 - 1) -> DataFrame:
+def covariance(a: DataFrame, b: DataFrame, switches: str = "none", bin_size: int = 60_000, least: int = 0, most: int = 2**63 - 1, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(row, col, val): covariances of the classes c of the binned difference of two tables (t, c, v).
 
     All switches give the same values; S leaves out what lies below the diagonal, Z what is zero. Catalyst does A,
     D, E, F, M, P and R by itself, so that they change the plan's form only: A the place of the sum, F the filter's
-    place, P an explicit repartitioning, R a cached source, D whether the stages are cached.
+    place, P an explicit repartitioning; without D, and for R, keep is applied to what is used twice: a function that
+    caches or writes a table, whose end is the caller's to say.
     """
     on = parse_switches(switches)
 
@@ -110,12 +111,12 @@ def covariance(a: DataFrame, b: DataFrame, switches: str = "none", bin_size: int
 
     keep_zero = "Z" not in on
     x = ewise(filtered(a), filtered(b), lambda l, r: l - r)
-    x = x if "D" in on else x.cache()
+    x = x if "D" in on else keep(x)
     n = count_rows(x).withColumnRenamed("n", "__n")
     means = x.groupBy("col").agg(F.avg("val").alias("__m"))
     u = x.join(means, "col").select("row", "col", (F.col("val") - F.col("__m")).alias("val"))
     u = u if keep_zero else discard_zeros(u)
-    u = u.cache() if "R" in on else u
+    u = keep(u) if "R" in on else u
     if "A" in on:
         c = table_mult(u, u, upper_triangle="S" in on, keep_zero=keep_zero)
     else:

@@ -173,8 +173,9 @@ def parse_range_string(s: str, prefixes: bool = False) -> RangeSet:
 def prefix_interval(p: str) -> Interval:
     """All strings that start with p."""
     for n in range(len(p), 0, -1):
-        if ord(p[n - 1]) < 0x10FFFF:
-            return Interval(p, p[: n - 1] + chr(ord(p[n - 1]) + 1), hi_open=True)
+        if (code := ord(p[n - 1])) < 0x10FFFF:
+            after = 0xE000 if code == 0xD7FF else code + 1  # what lies between stands for no character
+            return Interval(p, p[: n - 1] + chr(after), hi_open=True)
     return Interval(p or None)
 
 
@@ -188,16 +189,28 @@ def count_points(s: str) -> int:
     return -1 if ":" in parts else len(parts)
 
 
-def prepend(prefix: str, s: str) -> str:
-    """The range string with prefix before every row; open ends become the ends of the prefix."""
+def prepend(prefix: str, s: str) -> RangeSet:
+    """The intervals of a range string with prefix before every row; open ends become the ends of the prefix, the upper one exclusive."""
+    end = prefix_interval(prefix)
+
+    def one(i: Interval) -> Interval:
+        if i.hi is None:
+            return Interval(prefix + (i.lo or "") or None, end.hi, lo_open=i.lo_open, hi_open=end.hi_open)
+        return Interval(prefix + (i.lo or "") or None, prefix + i.hi, lo_open=i.lo_open, hi_open=i.hi_open)
+
+    return RangeSet(one(i) for i in parse_range_string(s).intervals)
+
+
+def pad(s: str, prefix: str = "", suffix: str = "") -> str:
+    """The range string with prefix before and suffix after every row that it names; marks of ranges stay."""
+    return "".join((part if part == ":" else prefix + part + suffix) + s[-1] for part in split_range_string(s))
+
+
+def contains_empty(s: str) -> bool:
+    """Whether a range string names the empty row; an empty one is an error."""
     if not s:
-        return s
-    sep = s[-1]
-    out = []
-    for i in parse_range_string(s).intervals:
-        lo, hi = prefix + (i.lo or ""), None if i.hi is None else prefix + i.hi
-        out += [lo] if i.lo is not None and i.lo == i.hi else [lo, ":", hi if hi is not None else prefix_interval(prefix).hi]
-    return sep.join(out) + sep
+        raise ValueError("no range string")
+    return "" in split_range_string(s)
 
 
 def range_filter(df: DataFrame, column: str, ranges: str, negate: bool = False, prefixes: bool = False) -> DataFrame:

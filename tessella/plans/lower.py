@@ -47,8 +47,16 @@ def _extend(node: N.Extend, df: DataFrame) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*structs)))
 
 
+#: Rows, as a power of two, of the parts in which groups are summed whose values an addition gathers.
+PART_BITS = 12
+
+
 def _aggregate(df: DataFrame, schema: Schema, plus: dict) -> DataFrame:
     keys = [F.col(f"`{k}`") for k in schema.key_names]
+    if any(plus[v.name].gathers for v in schema.vals):
+        part = F.shiftright(F.monotonically_increasing_id(), PART_BITS)
+        sums = [plus[v.name].aggregate(F.col(f"`{v.name}`")).cast(v.kind.spark).alias(v.name) for v in schema.vals]
+        df = df.withColumn("__part", part).groupBy(*keys, "__part").agg(*sums).drop("__part")
     sums = [plus[v.name].aggregate(F.col(f"`{v.name}`")).cast(v.kind.spark).alias(v.name) for v in schema.vals]
     if not sums:
         return df.select(*keys).distinct()
@@ -80,7 +88,7 @@ def _join(node: N.Join, left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def lower(plan: N.Node, done: dict[int, DataFrame] | None = None) -> DataFrame:
-    """The plan as a DataFrame with the columns of its schema, keys first. Store also writes its table."""
+    """The plan as a DataFrame with the columns of its schema, keys first; of a Store, what it would write."""
     done = {} if done is None else done
 
     def go(node: N.Node) -> DataFrame:
@@ -115,14 +123,21 @@ def lower(plan: N.Node, done: dict[int, DataFrame] | None = None) -> DataFrame:
             case N.Distinct():
                 return go(node.input).dropDuplicates(node.schema.key_names)
             case N.Store():
-                df = go(node.input)
-                df.write.mode("overwrite").saveAsTable(node.table)
-                return SparkSession.active().table(node.table)
+                return go(node.input)
         raise TypeError(node)
 
     return go(plan)
 
 
+def run(plan: N.Node) -> DataFrame:
+    """Carry out the plan: a Store writes its table, which is the result; other plans only give their DataFrame."""
+    df = lower(plan)
+    if not isinstance(plan, N.Store):
+        return df
+    df.write.mode("overwrite").saveAsTable(plan.table)
+    return SparkSession.active().table(plan.table)
+
+
 def ordered(plan: N.Node) -> DataFrame:
     """The result in the order of its keys, nulls first."""
     return lower(plan).orderBy([F.col(f"`{k}`").asc_nulls_first() for k in plan.schema.key_names])

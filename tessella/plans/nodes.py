@@ -75,6 +75,25 @@ class Node:
                 start = x.fold(f, start, stop)
         return f(start, self)
 
+    def transform_fold(self, start: Any, f: Callable[[Any, Node, int, list], tuple[Any, bool]], replace_with: Callable[[Node, list], Node] | None = None) -> tuple[Any, Node]:
+        """A walk that sees a node before its inputs, between and after them, and may rewrite the tree; (result, tree).
+
+        f(given, node, position, results) is called with position inputs visited, whose results are given; it returns
+        (value, stop): what the next input is given, or, with stop or after the last input, the node's result, on which
+        inputs not yet visited are left alone. replace_with(node, results) then gives the node's replacement.
+        """
+        node, results = self, []
+        names = [x.name for x in fields(node) if isinstance(getattr(node, x.name, None), Node)]
+        while True:
+            value, stop = f(start, node, len(results), results)
+            if stop or len(results) == len(names):
+                return value, replace_with(node, results) if replace_with else node
+            name = names[len(results)]
+            result, new = getattr(node, name).transform_fold(value, f, replace_with)
+            results.append(result)
+            if new is not getattr(node, name):
+                node = replace(node, **{name: new})
+
     def base_tables(self) -> set[str]:
         return self.fold(lambda s, n: s | ({n.table} if isinstance(n, Load) else set()), set())
 
@@ -97,6 +116,12 @@ class Node:
 
         return lower(self)
 
+    def run(self) -> DataFrame:
+        """Carry out the plan: a Store writes its table."""
+        from .lower import run
+
+        return run(self)
+
     def to_dot(self) -> str:
         """The tree in the DOT language."""
         names: dict[int, str] = {}

@@ -181,10 +181,15 @@ class Compiler:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
         self.spark, self.tables = spark, dict(tables or {})
+        self._writes: list[Callable[[], DataFrame | None]] = []
 
     def run(self, text: str) -> DataFrame:
-        """Compile and carry out: stores are written; the result is what the last operator gave."""
-        return self.compile(check(parse(text))).df
+        """Compile and carry out: stores are written; the result is the table stored last, else what the last operator gave."""
+        self._writes.clear()
+        out = self.compile(check(parse(text))).df
+        for write in self._writes:
+            out = write() or out
+        return out
 
     def compile(self, node: Any) -> Relation:
         node = _is(node, "Store", "Dump", "Apply", "FileScan", "FileStore", "Select", "Scan")
@@ -197,13 +202,18 @@ class Compiler:
         out, name = self.compile(source), table_name(*_is(key, "RelationKey").args)
         for n in out.names:
             check_identifier(n)
-        out.df.write.mode("overwrite").saveAsTable(name)
-        return Relation(self.spark.table(name), out.distributed, out.local, out.values)
+
+        def write() -> DataFrame:
+            out.df.write.mode("overwrite").saveAsTable(name)
+            return self.spark.table(name)
+
+        self._writes.append(write)
+        return out
 
     def _filestore(self, file: str, form: str, options: dict, source: Any) -> Relation:
         self._csv(form)
         out = self.compile(source)
-        write_delimited(out.plain(), file, str(options.get("header", "true")).lower() == "true", single=True)
+        self._writes.append(lambda: write_delimited(out.plain(), file, str(options.get("header", "true")).lower() == "true", single=str(options.get("single", "true")).lower() == "true"))
         return out
 
     def _filescan(self, file: str, form: str, of: Any, options: dict) -> Relation:

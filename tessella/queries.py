@@ -5,8 +5,11 @@ Every query runs over its whole tables. Sums of doubles are rounded, as their la
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from . import examples
 from .functions.algebra import MAX, MIN, NULL_SUM, SUM, Ext, Map, Plus, Times, binned, keep_where, only
 from .operators import graph, linalg, merge, ranges
-from .plans.nodes import Empty, Frame, Node, reset_to_defaults
+from .plans.nodes import Data, Empty, Frame, Node, reset_to_defaults
 from .plans.plantext import Compiler
 from .plans.rewrite import discard_defaults
 from .plans.schema import DOUBLE, INT, LONG, NDOUBLE, STRING, Key, Schema, Val
@@ -113,10 +116,27 @@ def agg_user_defined_plus(spark, sf_dir):
     return t.agg(["o_custkey"], {"o_orderpriority": same}).frame()
 
 
-@query("SELECT o_orderkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY o_orderkey")
+@query("SELECT k, max(v) AS v FROM (SELECT o_orderkey AS k, o_custkey AS v FROM orders UNION ALL SELECT l_orderkey, 0 FROM lineitem) GROUP BY k")
 def agg_error_plus(spark, sf_dir):
-    """At most one value for a key; the orders' keys are unique, so nothing fails."""
-    return _table(spark, sf_dir, "orders", {"o_orderkey": LONG}, {"o_totalprice": NDOUBLE}).agg(["o_orderkey"], {"o_totalprice": only(None)}).frame()
+    """At most one value other than the default for a key: an order's customer, beside the defaults of its lines; a second one would fail the query."""
+    both = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit(-1).alias("line"), F.col("o_custkey").alias("v"))
+    both = both.union(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0)))
+    return Frame(both, Schema([Key("k", LONG), Key("line", INT)], [Val("v", LONG, 0)])).agg(["k"], {"v": only(0)}).frame()
+
+
+@query("SELECT c_nationkey, coalesce(min(CASE WHEN c_acctbal <> 0 THEN c_acctbal END), 0.0)::DOUBLE AS c_acctbal FROM (SELECT c_nationkey, CASE WHEN c_acctbal > 5000 THEN c_acctbal ELSE 0 END AS c_acctbal FROM customer) GROUP BY c_nationkey")
+def agg_with_other_identity(spark, sf_dir):
+    """The smallest balance above 5000 by nation, with 0 as the neutral value of min."""
+    t = _table(spark, sf_dir, "customer", {"c_nationkey": INT, "c_custkey": LONG}, {"c_acctbal": DOUBLE})
+    kept = t.map(keep_where("rich", t.schema.vals, lambda row: row["c_acctbal"] > 5000))
+    return kept.agg(["c_nationkey"], {"c_acctbal": MIN.with_identity(0.0)}).frame()
+
+
+@query("SELECT k, v FROM (VALUES ('a', 3::BIGINT), ('b', 5)) t(k, v)")
+def rows_in_memory(spark, sf_dir):
+    """Rows given as dicts and tuples, equal keys summed."""
+    schema = Schema([Key("k", STRING)], [Val("v", LONG)])
+    return Data(schema, ({"k": "a", "v": 1}, ("a", 2))).union(Data(schema, (("b", 5),)), {"v": SUM}).frame()
 
 
 @query("SELECT sum(l_linenumber)::BIGINT AS l_linenumber FROM lineitem HAVING count(*) > 0")
@@ -200,10 +220,10 @@ def values_to_defaults(spark, sf_dir):
     return t.map(reset_to_defaults(t.schema)).frame()
 
 
-@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+@query("SELECT DISTINCT o_custkey FROM orders")
 def dedup_keys(spark, sf_dir):
-    t = _table(spark, sf_dir, "orders", {"o_custkey": LONG}, {"o_orderkey": LONG})
-    return t.agg(["o_custkey"], {"o_orderkey": Plus("max", 0, F.max)}).dedup_keys().frame()
+    """One row for each of the keys, of which most come with many orders."""
+    return _table(spark, sf_dir, "orders", {"o_custkey": LONG}, {"o_orderkey": LONG}).dedup_keys().frame().select("o_custkey")
 
 
 # --- bins, covariance, matrices
@@ -246,7 +266,14 @@ def covariance_kernels(spark, sf_dir):
 @query(_covariance_sql(60_000, True, ("row", "col", "val")))
 def covariance_kernels_all_switches(spark, sf_dir):
     s = _sensors(spark, sf_dir)
-    return _rounded(linalg.covariance(s["sensorA"], s["sensorB"], "ADEFMPS"), 3, "val")
+    return _rounded(linalg.covariance(s["sensorA"], s["sensorB"], "ADEFMPRSZ"), 3, "val")
+
+
+@query(_covariance_sql(60_000, False, ("row", "col", "val")))
+def covariance_kernels_zeros_dropped(spark, sf_dir):
+    """Switches R and Z alone: no covariance of these sensors is zero, so that all stay."""
+    s = _sensors(spark, sf_dir)
+    return _rounded(linalg.covariance(s["sensorA"], s["sensorB"], "RZ"), 3, "val")
 
 
 @query(f"WITH {_MATRIX_SQL} SELECT a.col AS row, b.col AS col, round(sum(a.val * b.val), 4) AS val FROM m a JOIN m b ON a.row = b.row GROUP BY ALL")
@@ -306,6 +333,13 @@ def range_string_negated(spark, sf_dir):
     return ranges.range_filter(o, "k", ":,1,5,:,7,", negate=True).drop("k")
 
 
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment LIKE 'M%' OR c_mktsegment >= 'AU' AND c_mktsegment < 'B'")
+def range_string_prepended(spark, sf_dir):
+    """All rows of one prefix and an open range of another."""
+    wanted = ranges.RangeSet([*ranges.prepend("M", ":,").intervals, *ranges.prepend("A", "U,:,").intervals])
+    return _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").where(wanted.column(F.col("c_mktsegment")))
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment LIKE 'A%' OR c_mktsegment LIKE 'M%'")
 def range_string_prefixes(spark, sf_dir):
     return ranges.range_filter(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "A,M,", prefixes=True)
@@ -346,14 +380,21 @@ def adjacency_degree(spark, sf_dir):
 FROM (SELECT l_orderkey, l_linenumber, unnest(['out|', 'in|']) AS s, unnest([l_partkey, l_suppkey])::VARCHAR AS n FROM lineitem)""")
 def incidence_edges(spark, sf_dir):
     e = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.lit(1).cast("long").alias("val"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"))
-    return graph.incidence(e.select("row", "col", "val", "i"), F.col("i"))["edge"]
+    return graph.incidence(e.select("row", "col", "val", "i"), F.col("i"), 12)["edge"]
 
 
-@query("SELECT s || n AS row, 'deg' AS col, count(*) AS val FROM (SELECT unnest(['out|', 'in|']) AS s, unnest([l_partkey, l_suppkey])::VARCHAR AS n FROM lineitem) GROUP BY 1")
+@query("SELECT l_partkey AS row, 'out' AS col, count(*) AS val FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'in', count(*) FROM lineitem GROUP BY 1")
 def incidence_degree(spark, sf_dir):
     return graph.incidence(_edges(spark, sf_dir))["degree"]
 
 
+@query("SELECT 'out|' || l_partkey AS row, rpad(reverse((l_orderkey * 10 + l_linenumber)::VARCHAR), (SELECT max(length((l_orderkey * 10 + l_linenumber)::VARCHAR)) FROM lineitem)::INT, '0') AS col, 1::BIGINT AS val FROM lineitem UNION ALL SELECT 'in|' || l_suppkey, rpad(reverse((l_orderkey * 10 + l_linenumber)::VARCHAR), (SELECT max(length((l_orderkey * 10 + l_linenumber)::VARCHAR)) FROM lineitem)::INT, '0'), 1 FROM lineitem")
+def incidence_transposed(spark, sf_dir):
+    """Ids as wide as the largest number."""
+    e = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.lit(1).cast("long").alias("val"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"))
+    return graph.incidence(e, F.col("i"))["transposed"]
+
+
 @query("""SELECT row, col, sum(val)::BIGINT AS val FROM (
 SELECT l_partkey::VARCHAR AS row, 'deg' AS col, 1 AS val FROM lineitem UNION ALL SELECT l_suppkey::VARCHAR, 'deg', 1 FROM lineitem
 UNION ALL SELECT l_partkey || '|' || l_suppkey, '', 1 FROM lineitem UNION ALL SELECT l_suppkey || '|' || l_partkey, '', 1 FROM lineitem) GROUP BY ALL""")
@@ -361,12 +402,106 @@ def single_table_graph(spark, sf_dir):
     return graph.single_table(_edges(spark, sf_dir))
 
 
-@query("SELECT split_part(col, '|', 1) AS row, 'deg' AS col, count(*) AS val FROM (SELECT unnest(['status|' || o_orderstatus, 'priority|' || o_orderpriority]) AS col FROM orders) GROUP BY 1")
-def associative_field_table(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders")
+_CELLS_SQL = """c AS (SELECT 'order|' || o_orderkey AS row, unnest(['status|' || o_orderstatus, 'priority|' || o_orderpriority]) AS col, o_custkey AS val, unnest([o_orderkey * 2, o_orderkey * 2 + 1]) AS n FROM orders),
+i AS (SELECT rpad(reverse(n::VARCHAR), (SELECT max(length(n::VARCHAR)) FROM c)::INT, '0') AS id, * FROM c)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as (row, col, val, i): row "order|key", cols "status|..." and "priority|...", i a number for each."""
     cols = F.array(F.concat(F.lit("status|"), F.col("o_orderstatus")), F.concat(F.lit("priority|"), F.col("o_orderpriority")))
-    triples = o.select(F.col("o_orderkey").cast("string").alias("row"), F.explode(cols).alias("col"), F.lit(1).cast("long").alias("val"))
-    return graph.associative_tables(triples, ("Field",))["Field"]
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("val"), F.posexplode(cols).alias("p", "col"))
+    return o.select(F.concat(F.lit("order|"), F.col("o_orderkey").cast("string")).alias("row"), "col", "val", (F.col("o_orderkey") * 2 + F.col("p")).alias("i"))
+
+
+def _named(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables in one, with their names."""
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("name"), "row", "col", F.col("val").cast("long").alias("val")) for name, df in tables.items()])
+
+
+@query(f"""WITH {_CELLS_SQL} SELECT 'base' AS name, row, col, sum(val)::BIGINT AS val FROM c GROUP BY row, col UNION ALL SELECT 'T', col, row, sum(val) FROM c GROUP BY row, col
+UNION ALL SELECT 'Deg', row, 'deg', count(*) FROM c GROUP BY row UNION ALL SELECT 'DegT', col, 'deg', count(*) FROM c GROUP BY col
+UNION ALL SELECT 'Field', split_part(row, '|', 1), 'deg', count(*) FROM c GROUP BY 2 UNION ALL SELECT 'FieldT', split_part(col, '|', 1), 'deg', count(*) FROM c GROUP BY 2
+UNION ALL SELECT 'Edge', id, unnest(['deg|' || row, 'deg|' || col]), val FROM i UNION ALL SELECT 'EdgeT', unnest(['deg|' || row, 'deg|' || col]), id, val FROM i
+UNION ALL SELECT 'EdgeDegT', x, 'deg', count(*) FROM (SELECT unnest([row, col]) AS x FROM c) GROUP BY x""")
+def associative_nine_tables(spark, sf_dir):
+    return _named(graph.associative_tables(_cells(spark, sf_dir), sum_base=True, sum_transposed=True, number=F.col("i")))
+
+
+@query(f"""WITH {_CELLS_SQL} SELECT 'Deg' AS name, row, 'out' AS col, sum(val)::BIGINT AS val FROM c GROUP BY row UNION ALL SELECT 'DegT', col, 'in', sum(val) FROM c GROUP BY col
+UNION ALL SELECT 'Field', split_part(row, '|', 1), 'out', sum(val) FROM c GROUP BY 2 UNION ALL SELECT 'FieldT', split_part(col, '|', 1), 'in', sum(val) FROM c GROUP BY 2
+UNION ALL SELECT 'EdgeDegT', row, 'out', sum(val) FROM c GROUP BY row UNION ALL SELECT 'EdgeDegT', col, 'in', sum(val) FROM c GROUP BY col""")
+def associative_tables_by_value(spark, sf_dir):
+    return _named(graph.associative_tables(_cells(spark, sf_dir), ("Deg", "DegT", "Field", "FieldT", "EdgeDegT"), degree_of_values=True, out="out", into="in"))
+
+
+def _triple_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Edges from customers to their orders' priorities as two sets of files, an item a line, in the order of the orders."""
+    base = _scratch(spark, "triples")
+    edges = _read(spark, sf_dir, "orders").repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey")
+    edges.select(F.col("o_custkey").cast("string")).write.text(f"{base}-row")
+    edges.select("o_orderpriority").write.text(f"{base}-col")
+    return f"{base}-row", f"{base}-col"
+
+
+@query("SELECT o_custkey::VARCHAR AS row, o_orderpriority AS col, count(*) AS val FROM orders GROUP BY ALL")
+def triple_files_adjacency(spark, sf_dir):
+    return graph.adjacency(files.read_triples(spark, *_triple_files(spark, sf_dir)))["base"]
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY o_orderkey)::VARCHAR AS n, o_custkey::VARCHAR AS r, o_orderpriority AS c FROM orders),
+i AS (SELECT rpad(reverse(n), (SELECT max(length(n)) FROM e)::INT, '0') AS id, r, c FROM e) SELECT id AS row, unnest(['out|' || r, 'in|' || c]) AS col, 1::BIGINT AS val FROM i""")
+def triple_files_incidence(spark, sf_dir):
+    """Edges numbered as their lines, all files taken together."""
+    return graph.incidence(files.read_triples(spark, *_triple_files(spark, sf_dir), numbered=True), F.col("n"))["edge"]
+
+
+@query("""SELECT row, col, sum(val)::BIGINT AS val FROM (
+SELECT unnest([o_custkey::VARCHAR, o_orderpriority]) AS row, 'deg' AS col, 1 AS val FROM orders UNION ALL SELECT unnest([o_custkey || '|' || o_orderpriority, o_orderpriority || '|' || o_custkey]), '', 1 FROM orders) GROUP BY ALL""")
+def triple_files_single_table(spark, sf_dir):
+    return graph.single_table(files.read_triples(spark, *_triple_files(spark, sf_dir)))
+
+
+@query("WITH b AS (SELECT l_partkey AS r, l_suppkey AS c, count(*) AS v FROM lineitem GROUP BY ALL) SELECT rpad(reverse((r * 100000 + c)::VARCHAR), 16, '0') AS row, unnest(['out|' || r, 'in|' || c]) AS col, v AS val FROM b")
+def incidence_of_adjacency(spark, sf_dir):
+    """The incidence tables of an adjacency table, whose edges are summed already."""
+    return graph.incidence(graph.adjacency(_edges(spark, sf_dir))["base"], F.col("row") * 100_000 + F.col("col"), 16)["edge"]
+
+
+# --- alignment
+
+
+def _cell_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three tables of cells (row, family, qualifier, value) over suppliers."""
+    l = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("row"), F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("qualifier"), "l_linenumber")
+    return [l.where(F.col("l_linenumber") == k).groupBy("row", "family", "qualifier").agg(F.count("*").alias("value")) for k in (1, 2, 3)]
+
+
+def _align_sql(*keys: str) -> str:
+    rest = [c for c in ("family", "qualifier") if c not in keys]
+    table = lambda k: f"(SELECT {', '.join([*keys, *(f'{c} AS {c}_{k}' for c in rest)])}, value AS value_{k} FROM c WHERE l = {k + 1})"
+    cells = "c AS (SELECT l_suppkey::VARCHAR AS row, l_returnflag AS family, l_linestatus AS qualifier, l_linenumber AS l, count(*) AS value FROM lineitem GROUP BY ALL)"
+    return f"WITH {cells} SELECT * FROM {table(0)} JOIN {table(1)} USING ({', '.join(keys)}) JOIN {table(2)} USING ({', '.join(keys)})"
+
+
+@query(_align_sql("row"))
+def align_on_rows(spark, sf_dir):
+    return merge.align(_cell_tables(spark, sf_dir), "row")
+
+
+@query(_align_sql("row", "qualifier"))
+def align_on_rows_and_qualifiers(spark, sf_dir):
+    return merge.align(_cell_tables(spark, sf_dir), "row+qualifier")
+
+
+@query(_align_sql("row", "family", "qualifier") + " WHERE row >= '3' AND family IN ('A', 'R')")
+def align_on_all_in_a_range(spark, sf_dir):
+    return merge.align(_cell_tables(spark, sf_dir), "all", ranges.Interval.at_least("3"), ["A", "R"])
+
+
+@query("SELECT r_regionkey, n_nationkey FROM region, nation")
+def merge_without_keys(spark, sf_dir):
+    """The Cartesian product, of two tables of a few rows."""
+    return merge.merge([_read(spark, sf_dir, "region").select("r_regionkey"), _read(spark, sf_dir, "nation").select("n_nationkey")], [])
 
 
 # --- plan text, sources, sinks
@@ -409,14 +544,116 @@ def table_round_trip(spark, sf_dir):
     return Frame(df, schema).frame()
 
 
+_NETFLOW = ["StartTime", "Dur", "Proto", "SrcAddr", "Sport", "Dir", "DstAddr", "Dport", "State", "sTos", "dTos", "TotPkts", "TotBytes", "SrcBytes", "Label"]
+_NETFLOW_TYPES = {"Dur": "DOUBLE_TYPE", "sTos": "LONG_TYPE", "dTos": "LONG_TYPE", "TotPkts": "LONG_TYPE", "TotBytes": "LONG_TYPE", "SrcBytes": "LONG_TYPE"}
+
+
+def _netflow_scheme(names: list[str]) -> str:
+    return "Scheme([" + ", ".join(f"('{n}', '{_NETFLOW_TYPES.get(n, 'STRING_TYPE')}')" for n in names) + "])"
+
+
+def _netflow(spark: SparkSession, sf_dir: str, then) -> DataFrame:
+    """Lineitems as a file of network flows, which one plan reads, extends and stores; then(compiler, relation, scan) carries on."""
+    path, name = _scratch(spark, "netflow"), f"netflow_{uuid.uuid4().hex}"
+    l = _read(spark, sf_dir, "lineitem")
+    made = {
+        "StartTime": F.lit("2011/08/18 10:19:13.328709"), "Dur": F.col("l_discount") + 1, "Proto": F.col("l_returnflag"), "SrcAddr": F.concat(F.lit("10.0.0."), F.col("l_suppkey")), "Sport": F.col("l_linenumber"),
+        "Dir": F.lit("  <->"), "DstAddr": F.concat(F.lit("10.1.0."), F.col("l_partkey")), "Dport": F.lit("80"), "State": F.col("l_linestatus"), "sTos": F.lit(0), "dTos": F.lit(0), "TotPkts": F.col("l_linenumber"),
+        "TotBytes": F.col("l_orderkey"), "SrcBytes": F.col("l_orderkey"), "Label": F.lit("flow=Background"),
+    }
+    sinks.write_delimited(l.select(*[made[n].cast("string").alias(n) for n in _NETFLOW]), path)
+    compiler, ref = Compiler(spark), lambda n: f"NamedAttributeRef('{n}')"
+    kept = ["SrcAddr", "DstAddr", "RATE", "Dur", "Dir", "Proto", "Sport", "Dport", "State", "sTos", "dTos", "TotPkts", "SrcBytes", "Label"]
+    rate = f"DIVIDE(DIVIDE({ref('TotBytes')}, {ref('Dur')}), NumericLiteral(1000.0))"
+    emitted = ", ".join(f"('{n}', {rate if n == 'RATE' else ref(n)})" for n in kept)
+    compiler.run(f"""Store(RelationKey('public','adhoc','{name}'), Apply([('TotBytes', {ref('TotBytes')}), ('StartTime', {ref('StartTime')}), ('$__DAP__', NumericLiteral(0)), ('$__LAP__', NumericLiteral(0)), {emitted}],
+        FileScan('{path}', 'CSV', {_netflow_scheme(_NETFLOW)}, {{'skip': 1}})))""")
+    scheme = _netflow_scheme(["TotBytes", "StartTime", *kept]).replace("('RATE', 'STRING_TYPE')", "('RATE', 'DOUBLE_TYPE')")
+    scan = f"Scan(RelationKey('public','adhoc','{name}'), {scheme}, (<catalog object at 0x7f>, 7), RepresentationProperties(frozenset([UnnamedAttributeRef(0, None), UnnamedAttributeRef(1, None)]), None, None))"
+    return then(compiler, f"public_adhoc_{name}", scan)
+
+
+@query("SELECT l_orderkey AS TotBytes, '10.0.0.' || l_suppkey AS SrcAddr, '10.1.0.' || l_partkey AS DstAddr, round(l_orderkey / (l_discount + 1) / 1000.0, 6) AS RATE, l_linenumber AS TotPkts, l_linenumber::VARCHAR AS Sport FROM lineitem")
+def netflow_stored(spark, sf_dir):
+    """The first plan of a pair: a file scan, a computed rate, a stored table."""
+    stored = _netflow(spark, sf_dir, lambda compiler, name, scan: spark.table(name))
+    return _rounded(stored.select("TotBytes", "SrcAddr", "DstAddr", "RATE", F.col("TotPkts").cast("int").alias("TotPkts"), "Sport"), 6, "RATE")
+
+
+@query("SELECT '10.0.0.' || l_suppkey AS src_ip, '10.1.0.' || l_partkey AS dst_ip, 1.0::DOUBLE AS value FROM lineitem WHERE l_orderkey > 100")
+def netflow_file_stored(spark, sf_dir):
+    """The second plan of the pair: a scan of the stored table, a selection, a file; the file is read back."""
+
+    def second(compiler: Compiler, name: str, scan: str) -> DataFrame:
+        path = _scratch(spark, "flows")
+        compiler.run(f"""FileStore('{path}', 'CSV', {{'single': 'false'}}, Apply([('src_ip', NamedAttributeRef('SrcAddr')), ('dst_ip', NamedAttributeRef('DstAddr')), ('value', NumericLiteral(1.0))],
+            Select(GT(UnnamedAttributeRef(0, None), NumericLiteral(100)), {scan})))""")
+        sinks.drop_table(spark, name)
+        return files.read_delimited(spark, path, [("src_ip", STRING.spark), ("dst_ip", STRING.spark), ("value", DOUBLE.spark)], skip=1)
+
+    return _netflow(spark, sf_dir, second)
+
+
+@query("SELECT s_suppkey, s_acctbal AS v, 'public' AS v__VIS, 42::BIGINT AS v__TS FROM supplier")
+def plan_text_visibility_and_time(spark, sf_dir):
+    """Values with a visibility and a time stamp of their own."""
+    compiler = Compiler(spark, {"public_adhoc_supplier": _read(spark, sf_dir, "supplier")})
+    return compiler.run("""Dump(Apply([('s_suppkey', NamedAttributeRef('s_suppkey')), ('v', NamedAttributeRef('s_acctbal')), ('v__VIS', StringLiteral('public')), ('v__TS', NumericLiteral(42))],
+        Scan(RelationKey('public','adhoc','supplier'), Scheme([('s_suppkey', 'LONG_TYPE'), ('$__DAP__', 'STRING_TYPE'), ('s_acctbal', 'DOUBLE_TYPE')]), 1, RepresentationProperties(frozenset([]), None, None))))""").select("s_suppkey", "v", "v__VIS", F.col("v__TS").cast("long").alias("v__TS"))
+
+
+#: Four logs by the quarter of an event's number; the names hold type and date.
+_LOGS = [f"bee-{kind}-v2dec-2017-0{m}-01.txt" for m, kind in ((4, "uw"), (1, "denver"), (3, "uw"), (2, "denver"))]
+
+
+def _sensor_logs(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Events as sensor logs, with lines that readers leave out."""
+    base = _scratch(spark, "logs")
+    e = _read(spark, sf_dir, "events")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    line = F.concat_ws(";", stamp, F.lit("node:1"), F.lit("class"), F.col("event_type"), F.col("value").cast("string"), F.lit("U"))
+    bad = F.array(line, F.lit("2017-01-01 00:00:00;n;Chemsense ID;mac_address;12;U"), F.lit("2017-01-01 00:00:00;n;x;y;none;U"), F.lit("2017-01-01;x"))
+    for k, name in enumerate(_LOGS):
+        e.where(F.col("event_id") % 4 == k).select(F.explode(bad).alias("value")).write.text(f"{base}/{name}")
+    return [f"{base}/{name}" for name in _LOGS]
+
+
+@query("SELECT epoch_us(ts) // 1000 AS t, 'class;' || event_type AS c, value AS v, ['2017-04-01', '2017-01-01', '2017-03-01', '2017-02-01'][(event_id % 4 + 1)::INT] AS file_date FROM events")
+def sensor_logs(spark, sf_dir):
+    return reduce(lambda a, b: a.union(b), [files.read_sensor(spark, path) for path in _sensor_logs(spark, sf_dir)])
+
+
+@query("SELECT ['uw', 'denver', 'uw', 'denver'][(event_id % 4 + 1)::INT] AS kind, ['2017-04-01', '2017-01-01', '2017-03-01', '2017-02-01'][(event_id % 4 + 1)::INT] AS date, CASE WHEN event_id % 4 IN (1, 3) THEN 0 ELSE 1 END AS part, count(*) AS n FROM events GROUP BY ALL")
+def sensor_file_list(spark, sf_dir):
+    """A list of logs by the dates in their names, and the parts of the table that its split points make."""
+    listed = files.sensor_files(_sensor_logs(spark, sf_dir), r"bee-(\w+)-v2dec-(\d{4}-\d{2}-\d{2})")
+    points = files.split_points([date for _, _, date in listed])
+    part = lambda date: sum(p <= date for p in points)
+    logs = [files.read_sensor(spark, path).select(F.lit(kind).alias("kind"), F.lit(date).alias("date"), F.lit(part(date)).alias("part")) for path, kind, date in listed]
+    return reduce(lambda a, b: a.union(b), logs).groupBy("kind", "date", "part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS entries, count(*) FILTER (l_linenumber > 6) AS rejected, sum(l_suppkey)::BIGINT AS total FROM lineitem WHERE l_linenumber > 6 OR true")
+def write_reduced(spark, sf_dir):
+    """Counts and a sum of what is written, taken in the pass that writes; entries is that of both writes."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_linenumber", "l_suppkey")
+    seen = sinks.write_with_reduction(lines, _scratch(spark, "reduced"), {"total": F.sum("l_suppkey")}, rejects=F.col("l_linenumber") > 6)
+    return spark.createDataFrame([(seen["entries"] + seen["rejected"], seen["rejected"], seen["total"])], "entries long, rejected long, total long")
+
+
+@query("SELECT DISTINCT n_nationkey, n_regionkey FROM nation")
+def keys_only(spark, sf_dir):
+    return _table(spark, sf_dir, "nation", {"n_nationkey": INT, "n_regionkey": INT}, {"n_name": STRING}).agg(["n_nationkey", "n_regionkey"]).frame().select("n_nationkey", "n_regionkey")
+
+
 def _scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where that is unset and all run in one process."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        return "file://" + tempfile.mkdtemp(prefix=f"tessella-{tag}-") + "/data"
-    import uuid
-
-    return f"{shared.rstrip('/')}/tessella/{tag}-{uuid.uuid4().hex}"
+    if shared:
+        return f"{shared.rstrip('/')}/tessella/{tag}-{uuid.uuid4().hex}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix=f"tessella-{tag}-") + "/data"
 
 
 def queries() -> dict[str, Query]:
@@ -425,5 +662,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,28 @@ def parsed(c: Column, kind: T.DataType) -> Column:
     return c.try_cast(kind)
 
 
+#: Most splits of files whose offsets a join broadcasts, about 100 bytes each; more are shuffled.
+BROADCAST_SPLITS = 1_000_000
+
+
+def numbered_lines(spark: SparkSession, path: str, each_file: bool = False) -> DataFrame:
+    """(value, n): the lines of a file or of several, numbered from 0 in the order of paths and lines; each_file: in each file anew.
+
+    A first pass counts the lines of every split that Spark reads; the counts before a split are its offset.
+    """
+    split = ["file", "start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    if each_file:
+        order = Window.partitionBy("file").orderBy("start")
+    else:  # a row for each split, in one task
+        order = Window.orderBy("file", "start")
+    before = F.coalesce(F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*split, (before - F.col("first")).alias("offset"))
+    few = sizes.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    return lines.join(F.broadcast(offsets) if few else offsets, split).select("value", (F.col("at") + F.col("offset")).alias("n"))
+
+
 def read_delimited(
     spark: SparkSession, path: str, columns: list[tuple[str, T.DataType | None]], skip: int = 0, delimiter: str = ",", quote: str = '"', escape: str = "\\", with_dropped: bool = False
 ) -> DataFrame:
@@ -34,13 +57,7 @@ def read_delimited(
     boolean column dropped; to count them.
     """
     names, bad = [f"_{i}" for i in range(len(columns))], "__line"
-    if skip:
-        reader = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
-        lines = reader.withColumn("n", F.monotonically_increasing_id())
-        first = lines.where("b = 0").groupBy("f").agg(F.min("n").alias("head"))  # a file's first block holds its head
-        lines = lines.join(first, "f").where(F.col("n") >= F.col("head") + skip).select("value")
-    else:
-        lines = spark.read.text(path)
+    lines = numbered_lines(spark, path, each_file=True).where(F.col("n") >= skip).select("value") if skip else spark.read.text(path)
     options = {"sep": delimiter, "quote": quote, "escape": escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
     fields = lines.select(F.from_csv("value", ", ".join(f"`{n}` STRING" for n in (*names, bad)), options).alias("r")).select("r.*")
     checked = F.when(F.col(bad).isNotNull(), F.raise_error(F.lit(f"a row does not have {len(columns)} fields")).cast("string"))
@@ -76,17 +93,54 @@ def read_sensor(spark: SparkSession, path: str, legacy_millis: bool = False) ->
     return out.where(F.col("v").isNotNull())
 
 
-def read_triples(spark: SparkSession, rows: str, cols: str, vals: str | None = None, delimiter: str = ",") -> DataFrame:
+def read_triples(spark: SparkSession, rows: str, cols: str, vals: str | None = None, delimiter: str = ",", numbered: bool = False) -> DataFrame:
     """(row, col, val): the n-th item of one file with the n-th of the others; without vals, 1. Files may be gzipped.
 
-    Items are numbered by line and place in the line, so that files of several lines need equal lines.
+    Each path may name several files, taken in the order of their names. Items are numbered by line and place in the
+    line; line ends end items, too. Files that do not have the same number of items in every line fail the query.
+    numbered: with a column n that follows the order of the items, from 1 and without gaps where every line has one.
     """
 
     def items(path: str, name: str) -> DataFrame:
-        lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-        every = lines.select("line", F.posexplode(F.split("value", delimiter)).alias("place", name))
+        every = numbered_lines(spark, path).select("n", F.posexplode(F.split("value", delimiter)).alias("place", name))
         return every.where(F.length(name) > 0)
 
-    out = items(rows, "row").join(items(cols, "col"), ["line", "place"])
-    out = out.join(items(vals, "val"), ["line", "place"]).withColumn("val", F.col("val").cast("long")) if vals else out.withColumn("val", F.lit(1).cast("long"))
-    return out.select("row", "col", "val")
+    names = ["row", "col", *(["val"] if vals else [])]
+    parts = [items(path, name) for path, name in zip([rows, cols, *([vals] if vals else [])], names, strict=True)]
+    out = reduce(lambda a, b: a.join(b, ["n", "place"], "full"), parts)
+    uneven = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in names])
+    out = out.withColumn("row", F.when(uneven, F.raise_error(F.lit("row, col and val files do not have the same number of items")).cast("string")).otherwise(F.col("row")))
+    out = out.withColumn("val", F.col("val").cast("long") if vals else F.lit(1).cast("long"))
+    if not numbered:
+        return out.select("row", "col", "val")
+    return out.select("row", "col", "val", "n", "place").withColumn("n", _places(out))
+
+
+def _places(items: DataFrame) -> Column:
+    """Numbers from 1 that follow (n, place); a row for each line is looked at, to see how many places lines have."""
+    most = items.agg(F.coalesce(F.max("place"), F.lit(0)).alias("most")).first()["most"] + 1
+    return F.col("n") * most + F.col("place") + 1
+
+
+def sensor_files(paths: list[str], pattern: str = r"(\w+)-(\d{4}-\d{2}-\d{2})[^/]*$") -> list[tuple[str, str, str]]:
+    """(path, type, date) of sensor logs by their names, in the order of dates; a name that does not match, or comes twice, is an error."""
+    found = []
+    for path in paths:
+        m = re.search(pattern, path)
+        if m is None:
+            raise ValueError(f"no type and date in the name of {path}")
+        found.append((path, m[1], m[2]))
+    check_distinct_names(paths)
+    return sorted(found, key=lambda f: f[2])
+
+
+def check_distinct_names(paths: list[str]) -> None:
+    """Files that are worked on once each are told apart by their names."""
+    names = [path.rstrip("/").rsplit("/", 1)[-1] for path in paths]
+    if twice := {n for n in names if names.count(n) > 1}:
+        raise ValueError(f"files of the same name: {sorted(twice)}")
+
+
+def split_points(dates: list[str]) -> list[str]:
+    """Where the table of a list of sensor files is split: every third date but for the first two."""
+    return sorted(set(sorted(dates)[1:][1::3]))

@@ -24,14 +24,25 @@ def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, Schema | None
     return df, Schema.from_spark(df.schema) if any("role" in f.metadata for f in df.schema.fields) else None
 
 
-def write_with_reduction(df: DataFrame, path: str, reductions: Mapping[str, Column] | None = None, transposed: str | None = None) -> dict:
-    """Write df, and (row, col, val) transposed too if asked; gives entries and the reductions of what was written, in the same pass."""
+def write_with_reduction(df: DataFrame, path: str, reductions: Mapping[str, Column] | None = None, transposed: str | None = None, most_rejected: int | None = None, rejects: Column | None = None) -> dict:
+    """Write df, and (row, col, val) transposed too if asked; gives entries and the reductions of what was written.
+
+    One pass over the input counts, reduces and writes; the transposed table is made of what was written. rejects: rows
+    for which it holds are not written but counted as rejected; more than most_rejected of them fail the write.
+    """
     seen = Observation()
-    observed = df.observe(seen, F.count(F.lit(1)).alias("entries"), *[c.alias(n) for n, c in (reductions or {}).items()])
-    observed.write.mode("overwrite").parquet(path)
+    bad = F.coalesce(rejects, F.lit(False)) if rejects is not None else F.lit(False)
+    good = lambda c: c if rejects is None else F.when(~bad, c)
+    counts = [F.count(good(F.lit(1))).alias("entries"), F.count(F.when(bad, 1)).alias("rejected")]
+    observed = df.observe(seen, *counts, *[c.alias(n) for n, c in (reductions or {}).items()])
+    (observed.where(~bad) if rejects is not None else observed).write.mode("overwrite").parquet(path)
+    found = seen.get
+    if most_rejected is not None and found["rejected"] > most_rejected:
+        raise ValueError(f"{found['rejected']} rows rejected, more than {most_rejected}")
     if transposed:
-        df.select(F.col("col").alias("row"), F.col("row").alias("col"), "val").write.mode("overwrite").parquet(transposed)
-    return seen.get
+        written = df.sparkSession.read.schema(df.schema).parquet(path)
+        written.select(F.col("col").alias("row"), F.col("row").alias("col"), "val").write.mode("overwrite").parquet(transposed)
+    return found if rejects is not None else {k: v for k, v in found.items() if k != "rejected"}
 
 
 def write_delimited(df: DataFrame, path: str, header: bool = True, delimiter: str = ",", single: bool = False) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import examples
-from tessella.functions.algebra import ANY, MAX, NULL_SUM, SUM, Ext, Map, Plus, Times, keep_where
+from tessella.functions.algebra import ANY, MAX, NULL_SUM, SUM, Ext, Map, Plus, Times, keep_where, reduced
 from tessella.plans import nodes as N
 from tessella.plans.lower import ordered
 from tessella.plans.rewrite import discard_defaults
@@ -175,8 +175,56 @@ def test_plan_tools(spark, tmp_path):
     assert plan.fold(lambda n, _: n + 1, 0) == 3 and plan.fold(lambda n, _: n + 1, 0, lambda x: True) == 1
     assert plan.transform(lambda n: n) is plan
     assert plan.to_dot().count("->") == 2
-    stored = plan.bind({"a": table([("x", 1)]), "b": table([("x", 2)])}).store("stored_sums").frame()
-    assert [tuple(r) for r in stored.collect()] == [("x", 3)]
+    stored = plan.bind({"a": table([("x", 1)]), "b": table([("x", 2)])}).store("stored_sums")
+    assert rows(stored) == [("x", 3)] and not spark.catalog.tableExists("stored_sums")  # only run() writes
+    assert [tuple(r) for r in stored.run().collect()] == [("x", 3)] and spark.table("stored_sums").count() == 1
+    spark.sql("DROP TABLE stored_sums")
+
+
+def test_walks_that_rewrite():
+    plan = N.Load("a", KV).union(N.Load("b", KV), {"v": SUM}).agg([], {"v": SUM})
+    seen = []
+
+    def count(given, node, position, results):
+        seen.append((type(node).__name__, position))
+        return (1 + sum(results), False) if position == len(node.inputs) else (given, False)
+
+    found, same = plan.transform_fold(0, count)
+    assert found == 4 and same is plan and seen == [("Aggregate", 0), ("Union", 0), ("Load", 0), ("Union", 1), ("Load", 0), ("Union", 2), ("Aggregate", 1)]
+    found, _ = plan.transform_fold(0, lambda given, node, position, results: (7, isinstance(node, N.Union)))
+    assert found == 7
+    renamed = lambda node, results: N.Load(node.table * 2, KV) if isinstance(node, N.Load) else node
+    assert plan.transform_fold(0, count, renamed)[1].base_tables() == {"aa", "bb"} and plan.base_tables() == {"a", "b"}
+
+
+def test_verification(spark):
+    SUM.verify_identity(LONG, [1, -5])
+    MAX.verify_identity(NDOUBLE, [1.0])
+    with pytest.raises(SchemaError, match="is no identity"):
+        Plus("max", 0, F.max).verify_identity(LONG, [3, -5])
+    product = Times.annihilating("*", 0, 0, LONG, lambda a, b: a * b, 0)
+    product.verify_annihilator(LONG, LONG, [3], [4])
+    with pytest.raises(SchemaError, match="not 0"):
+        Times("+", 0, 0, LONG, lambda a, b: a + b, 0).verify_annihilator(LONG, LONG, [3], [])
+
+
+def test_gathering_additions_in_parts(spark):
+    from tessella.plans import lower
+
+    same = Plus.of("xor", 0, lambda a, b: a.bitwiseXOR(b))
+    many = N.Frame(spark.range(30_000).select(F.lit("hot").alias("k"), F.col("id").alias("v")), KV)
+    assert 1 << lower.PART_BITS < 30_000 and rows(many.agg(["k"], {"v": same})) == [("hot", __import__("functools").reduce(lambda a, b: a ^ b, range(30_000)))]
+
+
+def test_one_value_of_an_array(spark):
+    df = spark.createDataFrame([([1, 2],), ([5],), ([],)], "x array<long>")
+    assert [r.y for r in df.select(reduced(F.col("x"), 0, lambda a, b: a + b).alias("y")).collect()] == [3, 5, 0]
+    for default, plus in ((None, lambda a, b: a + b), (0, None)):
+        with pytest.raises(Exception, match="a value is missing|one value was expected"):
+            df.select(reduced(F.col("x"), default, plus)).collect()
+
+
+def test_dedup(spark):
     assert rows(table([("x", 1), ("x", 1)]).dedup_keys()) == [("x", 1)]
 
 

@@ -1,5 +1,6 @@
 """Ranges, kernels, merges, graphs, codecs, plan text, sources, sinks, streams, and every registered query."""
 
+import gzip
 import itertools
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 
 from tessella.functions import codecs
 from tessella.operators import graph, linalg, merge
-from tessella.operators.ranges import Interval, RangeSet, count_points, parse_range_string, points_string, prefix_interval, prepend, range_filter
+from tessella.operators.ranges import Interval, RangeSet, count_points, parse_range_string, contains_empty, pad, points_string, prefix_interval, prepend, range_filter
 from tessella.plans import plantext as P
 from tessella.sources import files, sinks
 from tessella.streaming import running
@@ -41,7 +42,13 @@ def test_range_strings(spark):
     assert r.to_string() == ":,r1,r3,r5,:,r7,r9,:," and parse_range_string(":,").contains("x")
     assert count_points("a,b,") == 2 and count_points("a,:,b,") == -1 and points_string(["a", "b"]) == "a,b,"
     assert prefix_interval("ab") == Interval("ab", "ac", hi_open=True)
-    assert prepend("p|", "a,b,:,c,") == "p|a,p|b,:,p|c,"
+    assert prepend("p|", "a,b,:,c,").to_string() == "p|a,p|b,:,p|c,"
+    opened = prepend("a", ":,")
+    assert opened.contains("a") and opened.contains("azz") and not opened.contains("b") and not prepend("a", "m,:,").contains("b")
+    assert not prepend("a", ":,m,").contains("an") and prepend("", ":,").contains("z") and prepend("x", "").intervals == []
+    assert pad("a,b,:,v,:,", "pre|", "X") == "pre|aX,pre|bX,:,pre|vX,:," and pad("a,", "", "") == "a,"
+    assert contains_empty("a,,") and contains_empty(",") and not contains_empty("a,")
+    assert prefix_interval("a\ud7ff").hi == "a\ue000" and prefix_interval("\U0010ffff").hi is None
     assert len(RangeSet([Interval("a", "c"), Interval("b", "d"), Interval("x", "a")]).intervals) == 1
     assert RangeSet([Interval("a", "c")]).intersection(Interval("b", "z")).to_string() == "b,:,c,"
     df = spark.createDataFrame([("r1",), ("r2",), (None,)], "k string")
@@ -112,7 +119,7 @@ def test_align(spark):
     assert merge.align([t, t], "row+qualifier", ranges=Interval.at_least("r2")).first().value_0 == "w"
 
 
-def test_graphs(spark):
+def test_graphs(spark, tmp_path):
     e = spark.createDataFrame([("a", "b", 1), ("a", "b", 1), ("b", "c", 1)], "row string, col string, val long")
     g = graph.adjacency(e)
     assert cells(g["base"]) == [("a", "b", 2), ("b", "c", 1)] and cells(g["transposed"]) == [("b", "a", 2), ("c", "b", 1)]
@@ -120,9 +127,22 @@ def test_graphs(spark):
     single = cells(graph.single_table(e))
     assert ("a", "deg", 2) in single and ("b", "deg", 3) in single and ("a|b", "", 2) in single and ("c|b", "", 1) in single
     i = graph.incidence(e, F.lit(12).cast("long"), 4)
-    assert i["edge"].first().row == "2100" and cells(i["degree"])[0] == ("in|b", "deg", 2)
-    t = graph.associative_tables(spark.createDataFrame([("r", "f|1", 2), ("r", "g|2", 3)], "row string, col string, val long"))
-    assert set(t) == set(graph.TABLES) and cells(t["Deg"]) == [("r", "deg", 2)] and cells(t["Field"]) == [("f", "deg", 1), ("g", "deg", 1)]
+    assert i["edge"].first().row == "2100" and cells(i["degree"]) == cells(g["degree"])
+    with pytest.raises(Exception, match="no room for the digits"):
+        graph.incidence(e, F.lit(12345).cast("long"), 4)["edge"].collect()
+    large = spark.createDataFrame([("a", "b", 1, 1), ("c", "d", 1, 10**12 + 1)], "row string, col string, val long, n long")
+    assert {r.row for r in graph.incidence(large, F.col("n"))["edge"].collect()} == {"1000000000000", "1000000000001"}
+    many = spark.range(1000).select(F.col("id").cast("string").alias("row"), F.lit("x").alias("col"), F.lit(1).cast("long").alias("val")).repartition(7)
+    path = str(tmp_path / "edges")
+    many.write.parquet(path)
+    many = spark.read.parquet(path)
+    assert sorted(r.n for r in graph.numbered_edges(many).collect()) == list(range(1, 1001))
+    tables = graph.incidence(many)
+    own = {(r.row, r.col) for r in tables["edge"].collect()}
+    assert len({r for r, _ in own}) == 1000 and all(len(r) == 4 for r, _ in own) and own == {(r.col, r.row) for r in tables["transposed"].collect()}
+    t = graph.associative_tables(spark.createDataFrame([("k|r", "f|1", 2), ("k|r", "g|2", 3), ("s", "h", 1)], "row string, col string, val long"))
+    assert set(t) == set(graph.TABLES) and cells(t["Deg"]) == [("k|r", "deg", 2), ("s", "deg", 1)]
+    assert cells(t["Field"]) == [("k", "deg", 2)] and cells(t["FieldT"]) == [("f", "deg", 1), ("g", "deg", 1)]
 
 
 def test_codecs_keep_order():
@@ -218,10 +238,49 @@ def test_triples(spark, tmp_path):
     assert cells(files.read_triples(spark, *(str(tmp_path / f"{n}.txt") for n in "rcv"))) == [("a", "x", 1), ("b", "y", 2), ("c", "z", 3)]
 
 
+def test_triples_of_many_splits(spark, tmp_path):
+    """Files that Spark splits differently are paired by true position, over several files, some gzipped."""
+    n = 20_000
+    for name, width in (("r", 3), ("c", 17)):
+        (tmp_path / name).mkdir()
+        items = [f"{name}{'-' * (i % width)}{i}" for i in range(n)]
+        (tmp_path / name / "1.txt").write_text("\n".join(items[: n // 2]) + "\n")
+        with gzip.open(tmp_path / name / "2.txt.gz", "wt") as f:
+            f.write("\n".join(items[n // 2 :]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.read_triples(spark, str(tmp_path / "r"), str(tmp_path / "c"), numbered=True)
+        assert got.count() == n
+        assert got.where(F.regexp_extract("row", r"(\d+)$", 1) != F.regexp_extract("col", r"(\d+)$", 1)).count() == 0
+        assert got.where(F.regexp_extract("row", r"(\d+)$", 1).cast("long") + 1 != F.col("n")).count() == 0
+        assert files.numbered_lines(spark, str(tmp_path / "r"), each_file=True).agg(F.max("n")).first()[0] == n // 2 - 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "short.txt").write_text("a,b\n")
+    (tmp_path / "long.txt").write_text("a,b,c\n")
+    with pytest.raises(Exception, match="same number of items"):
+        files.read_triples(spark, str(tmp_path / "short.txt"), str(tmp_path / "long.txt")).collect()
+
+
+def test_sensor_file_lists():
+    names = [f"/x/bee-{t}-v2dec-2017-0{m}-01.txt" for m, t in ((2, "uw"), (1, "denver"))]
+    assert [f[1:] for f in files.sensor_files(names, r"bee-(\w+)-v2dec-(\d{4}-\d{2}-\d{2})")] == [("denver", "2017-01-01"), ("uw", "2017-02-01")]
+    assert files.split_points(["5", "1", "2", "3", "4", "6"]) == ["3", "6"]
+    with pytest.raises(ValueError, match="same name"):
+        files.check_distinct_names(["/a/x.txt", "/b/x.txt"])
+    with pytest.raises(ValueError, match="no type and date"):
+        files.sensor_files(["/a/x.txt"])
+
+
 def test_sinks(spark, tmp_path):
     m = spark.createDataFrame([("a", "b", 2), ("c", "d", 3)], "row string, col string, val long")
     seen = sinks.write_with_reduction(m, str(tmp_path / "m"), {"total": F.sum("val")}, str(tmp_path / "t"))
     assert seen == {"entries": 2, "total": 5} and cells(spark.read.parquet(str(tmp_path / "t"))) == [("b", "a", 2), ("d", "c", 3)]
+    rejected = sinks.write_with_reduction(m, str(tmp_path / "some"), rejects=F.col("val") > 2, most_rejected=1)
+    assert rejected == {"entries": 1, "rejected": 1} and cells(spark.read.parquet(str(tmp_path / "some"))) == [("a", "b", 2)]
+    with pytest.raises(ValueError, match="1 rows rejected"):
+        sinks.write_with_reduction(m, str(tmp_path / "none"), rejects=F.col("val") > 2, most_rejected=0)
     sinks.write_delimited(spark.createDataFrame([("a", None)], "k string, v string"), str(tmp_path / "csv"), single=True)
     assert next((tmp_path / "csv").glob("*.csv")).read_text() == "k,v\na,\n"
     assert sinks.table_name("a", "b:c", "d") == "a_b_c_d"
