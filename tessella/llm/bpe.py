@@ -18,9 +18,9 @@ import numpy as np
 import regex
 
 #: Entries and bytes of a generation of a cache, of which a worker keeps two, young and old; an entry takes ENTRY bytes besides its key and value.
-CACHE, CACHE_BYTES, ENTRY = 60_000, 12_000_000, 120
+CACHE, CACHE_BYTES, ENTRY = 100_000, 24_000_000, 120
 #: Characters of the texts or pieces encoded at once, and pre-tokens indexed at once.
-BATCH_CHARS, BATCH_WORDS = 1_000_000, 50_000
+BATCH_CHARS, BATCH_WORDS = 2_000_000, 100_000
 _SPACE = regex.compile(r"[^\S\x1c-\x1f]")
 #: White space of str.split() that is not white space to the tokenizer.
 _FALSE_SPACE = "\x1c\x1d\x1e\x1f"

@@ -72,7 +72,7 @@ def discard(*tables: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that few texts at a time become Python strings; memory that is free at the end goes back to the system."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
