@@ -72,13 +72,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     digests = _numbered(materialize(digests, "lines"))
 
     same = ["key", "check"]
-    firsts = materialize(digests.groupBy(*same).agg(F.min("gid").alias("gid")), "firsts")
-    sets = materialize(digests.select("gid", "doc", "line", "n", "prefix").join(firsts.select("gid"), "gid", "left_semi"), "sets")
+    firsts = digests.groupBy(*same).agg(F.min("gid").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    again = digests.select("gid", "doc", "line", *same).join(firsts, same).where(F.col("gid") != F.col("first"))
+    again = materialize(again.select("gid", "doc", "line"), "again")
+    # a set that none of this size can match but an equal one is left out
+    alone = F.col("n") * t.denominator < (F.col("n") + 1) * t.numerator
+    sets = join_small(digests.where(~alone).select("gid", "doc", "line", "n", "prefix"), again.select("gid"), "gid", "left_anti")
     likely = materialize(_likely(sets, t), "likely")
-    discard(sets)
-    matched = _matched(source, likely, n, t)
-    firsts = firsts.join(matched.withColumn("matched", F.lit(True)), "gid", "left").withColumnRenamed("gid", "first")
-    gone = digests.select("doc", "line", "gid", *same).join(firsts, same).where(F.col("matched") | (F.col("gid") != F.col("first")))
+    matched = likely.join(_matched(source, likely, n, t), "gid", "left_semi")
+    gone = again.select("doc", "line").union(matched.select("doc", "line"))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed")).withColumnRenamed("doc", id_col)
 
 
@@ -93,13 +95,12 @@ def _numbered(digests: DataFrame) -> DataFrame:
 
 def _likely(sets: DataFrame, t: Fraction) -> DataFrame:
     """(doc, line, gid) of those of sets(gid, doc, line, n, prefix) that the first filter leaves."""
-    postings = sets.select("gid", "n", F.explode("prefix").alias("token"))
-    held = postings.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
+    held = sets.select("n", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
     like = F.col("least") * t.denominator >= F.col("most") * t.numerator  # decides for two; of more, some are taken to be alike
     held = held.where((F.col("m") > 2) | ((F.col("m") == 2) & like)).select("token")
-    hits = postings.join(held, "token", "left_semi").groupBy("gid", "n").agg(F.count("*").alias("hits"))
-    enough = hits.where(F.col("hits") >= F.least(F.lit(SHARED), _least_common(F.col("n"), t))).select("gid")
-    return sets.select("gid", "doc", "line").join(enough, "gid")
+    hits = sets.select("gid", F.explode("prefix").alias("token")).join(held, "token", "left_semi").groupBy("gid").agg(F.count("*").alias("hits"))
+    enough = F.col("hits") >= F.least(F.lit(SHARED), _least_common(F.col("n"), t))
+    return sets.select("gid", "doc", "line", "n").join(hits, "gid").where(enough).select("doc", "line", "gid")
 
 
 def _candidate(a: str, b: str, t: Fraction) -> Column:
