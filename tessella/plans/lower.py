@@ -72,13 +72,23 @@ def _padded(df: DataFrame, of: Schema, schema: Schema) -> DataFrame:
     return df.select(*[F.col(f"`{k}`") for k in schema.key_names], *vals)
 
 
+def _one_row(node: N.Node) -> bool:
+    """Whether the plan gives at most one row, as an aggregation without keys does."""
+    while isinstance(node, (N.Rename, N.Sort, N.Where, N.Distinct)):
+        node = node.input
+    return isinstance(node, N.Aggregate) and not node.keys
+
+
 def _join(node: N.Join, left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = node.left.schema, node.right.schema
     right = right.select([F.col(f"`{n}`").alias(f"__r_{n}") for n in b.names])
     l, r = (lambda n: F.col(f"`{n}`")), (lambda n: F.col(f"`__r_{n}`"))
     common = [k for k in a.keys if k.name in b.key_names]
     on = [l(k.name).eqNullSafe(r(k.name)) if k.kind.nullable else l(k.name) == r(k.name) for k in common]
-    joined = left.join(right, reduce(lambda x, y: x & y, on), "inner") if on else left.crossJoin(right)
+    if on:
+        joined = left.join(right, reduce(lambda x, y: x & y, on), "inner")
+    else:
+        joined = (F.broadcast(left) if _one_row(node.left) else left).crossJoin(F.broadcast(right) if _one_row(node.right) else right)
     keys = [l(k.name) if k.name in a.key_names else r(k.name).alias(k.name) for k in node.schema.keys]
     vals = [node.times[v.name].times(l(v.name), r(v.name)).cast(v.kind.spark).alias(v.name) for v in node.schema.vals]
     out = joined.select(*keys, *vals)
