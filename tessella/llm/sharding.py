@@ -51,9 +51,10 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     """(id, size, text_crc32, law, shard, slot, grown_shard), a row per row of docs.
 
     size: UTF-8 bytes of the text (null: none) plus 1; the law is "bytes": shard sizes near equal, as far as equal
-    texts, which share a shard, allow. Null and empty texts count as equal. slot counts from 0 in each shard without
-    gaps; rows with equal text and id take neighbouring slots in any order. Ids may repeat or be null. An empty table
-    gives no rows. Other columns are not looked at.
+    texts, which share a shard, allow. Null and empty texts count as equal; texts of any length are taken whole. slot
+    counts from 0 in each shard without gaps; a unit of many rows is numbered in cells, in which rows are in the order
+    of ids. Ids may repeat or be null, also in all rows: the cells do not depend on them. An empty table gives no rows.
+    Other columns are not looked at.
     """
     text = text_or_empty(text_col)
     base = docs.select(
@@ -61,6 +62,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(units)).cast("int").alias("unit"),
+        F.monotonically_increasing_id().alias("row"),
     )
     base = materialize(base, "digests")
     sized = materialize(base.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "units")
@@ -70,14 +72,14 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     number = F.lit(0)
     for k, end in enumerate(ends[:-1]):
         number = F.when(F.col("unit") >= rows[end]["unit"], k + 1).otherwise(number)
-    # a unit with many rows is numbered in cells, so that copies of one text do not meet in one task
+    # a unit with many rows is numbered in cells, so that copies of one text do not meet in one task, whatever their ids
     per_cell = max(1, -(-sum(r["n"] for r in rows) // units))
     cells_of = sized.select("unit", F.ceil(F.col("n") / per_cell).alias("cells"))
-    celled = base.join(F.broadcast(cells_of), "unit").withColumn("cell", F.pmod(F.xxhash64("id", F.lit(3)), F.col("cells"))).drop("cells")
+    celled = base.join(F.broadcast(cells_of), "unit").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells"))).drop("cells")
     counts = celled.groupBy("unit", "cell").agg(F.count("*").alias("n")).withColumn("shard", number.cast("int"))
     before = Window.partitionBy("shard").orderBy("unit", "cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("unit", "cell", "shard", "start"), "starts")
-    place = F.row_number().over(Window.partitionBy("unit", "cell").orderBy("id")) - 1
+    place = F.row_number().over(Window.partitionBy("unit", "cell").orderBy("id", "row")) - 1
     placed = celled.withColumn("place", place).join(F.broadcast(starts), ["unit", "cell"])
     return placed.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -374,6 +374,27 @@ def test_sharding(docs, rows, empty):
     assert {r.shard for r in few} <= {0, 1, 2} and sorted(r.slot for r in few if r.shard == 1) == list(range(sum(r.shard == 1 for r in few)))
 
 
+def test_shards_are_balanced_and_large_units_split(spark):
+    rng = random.Random(6)
+    texts = [text(rng, rng.randrange(5, 60)) for _ in range(300)]
+    rows = [(i % 7 if i % 3 else None, texts[i % 300]) for i in range(900)] + [(None, "hot")] * 400
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), units=64).collect()
+    size, units = Counter(), Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    for _, t in rows:
+        units[t] += len(t) + 1
+    assert len(got) == len(rows) and len(size) == 16
+    whole = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"))
+    size = Counter()
+    for r in whole.collect():
+        size[r.shard] += r["size"]
+    assert max(size.values()) <= sum(size.values()) / 16 + max(units.values())
+    for some in (got, whole.collect()):
+        for s in range(16):
+            assert sorted(r.slot for r in some if r.shard == s) == list(range(sum(r.shard == s for r in some)))
+
+
 def test_smallest_capacity():
     rng = random.Random(8)
 
