@@ -12,13 +12,15 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
 
+from .common import trim
+
 #: Entries and bytes of a generation of a cache, of which a worker keeps two, young and old; an entry takes ENTRY bytes besides its key and value.
-CACHE, CACHE_BYTES, ENTRY = 100_000, 24_000_000, 120
+CACHE, CACHE_BYTES, ENTRY = 80_000, 16_000_000, 120
 #: Characters of the texts or pieces encoded at once, and pre-tokens indexed at once.
 BATCH_CHARS, BATCH_WORDS = 2_000_000, 100_000
 _SPACE = regex.compile(r"[^\S\x1c-\x1f]")
@@ -62,20 +64,21 @@ class Cache:
 
 class WordBpe:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, normalizers
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
         if model["type"] != "BPE" or not suffix or steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path} is no lower-casing BPE with word ends")
-        self.library = Tokenizer.from_file(path)
+        space = spec["normalizer"]["normalizers"][1]
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(space["pattern"]["Regex"]), space["content"]), normalizers.Lowercase()])
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.lines = regex.compile(self.pattern.pattern + r"|\n")
         vocab = model["vocab"]
-        self.tokens = dict(zip(vocab.values(), vocab, strict=True)) | {x["id"]: x["content"] for x in spec["added_tokens"]}
         symbols = byte_symbols()
         self.byte = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[symbols[b] + suffix] for b in range(256)], np.int64)
@@ -87,6 +90,13 @@ class WordBpe:
         self.keys, self.ranks = (left * self.width + right)[order], order.astype(np.int64)
         self.chunks, self.words = Cache(), Cache()
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own encoder, for chunks with special strings."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _rank(self, sym: np.ndarray, nxt: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ranks of the merges of the symbols at positions at with their right neighbours."""
         key = sym[at] * self.width + sym[nxt[at]]
@@ -167,7 +177,7 @@ class WordBpe:
         if _SIMPLE.fullmatch(whole):
             lower = "\n".join(plain).lower()
         else:
-            lower = "\n".join(c.lower() if _SIMPLE.fullmatch(c) else c and self.library.normalizer.normalize_str(c) for c in plain)
+            lower = "\n".join(c.lower() if _SIMPLE.fullmatch(c) else c and self.normalizer.normalize_str(c) for c in plain)
         words = self.lines.findall(lower)
         new = self.words.missing(set(words))
         self.words.young["\n"] = _MARK
@@ -232,4 +242,6 @@ def batches(texts: list[str | None]) -> Iterator[list[tuple[str, bool]]]:
 @lru_cache(2)
 def load(path: str) -> WordBpe:
     """The encoder of a file, once for each worker process."""
-    return WordBpe(path)
+    found = WordBpe(path)
+    trim()
+    return found

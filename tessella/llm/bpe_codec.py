@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,10 @@ class Decoder:
     """Texts of ids as the library gives them for a file without a decoder: the tokens, joined by spaces."""
 
     def __init__(self, bpe: WordBpe):
-        self.tokens = np.array([bpe.tokens.get(i, "") for i in range(max(bpe.tokens) + 1)], object)
+        with open(bpe.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        self.tokens = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
         self.cache = Cache()
 
     def __call__(self, ids: bytes) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import join_small, materialize, trim
 from .components import connected_components
 
 #: Items of a block in which candidates are sought: NEAR, or up to NEAR_MAX where blocks of a large bucket meet in pairs.
@@ -137,6 +137,7 @@ def _compared(rows: DataFrame, matches: Matches, count: bool, span: bool) -> Dat
                 held = []
         if held:
             yield out()
+        trim()
 
     return rows.mapInArrow(work, FOUND)
 

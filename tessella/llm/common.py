@@ -12,6 +12,7 @@ import uuid
 import weakref
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,16 +73,26 @@ def discard(*tables: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts at a time become Python strings; memory that is free at the end goes back to the system."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+def trim() -> None:
+    """Give memory that is free back to the system, as a worker lives on after a task."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in copied slices, so that few texts at a time become Python strings, and a batch is free before the next comes."""
+    while (batch := next(batches, None)) is not None:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.take(pa.array(np.arange(lo, min(lo + rows, batch.num_rows))))
+            if lo + rows >= batch.num_rows:
+                batch = pa.record_batch([], names=[])
+            yield part
+            if not batch.num_rows:
+                break
+    trim()
+
+
 def join_small(left: DataFrame, ids: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join left with a materialized narrow table; the table is broadcast only if its counted rows are within limit."""
     small = ids.limit(limit + 1).count() <= limit
