@@ -72,7 +72,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     digests = _numbered(materialize(digests, "lines"))
 
     same = ["key", "check"]
-    firsts = digests.groupBy(*same).agg(F.min("gid").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # a table of its own, so that adaptive execution can split a set of very many copies in the join
+    firsts = materialize(digests.groupBy(*same).agg(F.min("gid").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "firsts")
     again = digests.select("gid", "doc", "line", *same).join(firsts, same).where(F.col("gid") != F.col("first"))
     again = materialize(again.select("gid", "doc", "line"), "again")
     # a set that none of this size can match but an equal one is left out
