@@ -87,8 +87,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     A document's ids are those of its text by the tokenizer file at path, without special tokens added, then end.
     Every id lies in exactly one piece; the pieces of a sequence fill it from offset 0 without a gap, to size tokens
-    or, at the end of a task, to a power of two. A null or empty text is the end id alone. Rows with equal ids are
-    packed each on its own; rows with a null id come back with a null id. Other columns are not looked at.
+    or, at the end of a task, to a power of two. A null or empty text is the end id alone; a text of any length is
+    taken whole, its full windows cut off first. Of fill levels that cost the same the fullest is taken. Rows with
+    equal ids are packed each on its own; rows with a null id come back with a null id. Other columns are not looked
+    at. An empty table gives no rows.
 
     sequence_id holds the number of the task's partition and counts up within it, so the rows of docs must come to
     the same partitions in the same order when a task is repeated; a table read from files does that.
