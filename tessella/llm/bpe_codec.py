@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Cache, WordBpe, batches, load
+from .bpe import ENCODE_CHARS, WordBpe, batches, load
 from .common import sliced
 
 
@@ -22,11 +22,11 @@ class Decoder:
         with open(bpe.path, encoding="utf-8") as f:
             spec = json.load(f)
         tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-        self.tokens = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
-        self.cache = Cache()
+        self.tokens = np.array([tokens.get(i, "").encode() for i in range(max(tokens) + 1)], object)
 
-    def __call__(self, ids: bytes) -> str:
-        return " ".join(self.tokens[np.frombuffer(ids, "<u4")])
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """The text in UTF-8."""
+        return b" ".join(self.tokens[ids].tolist())
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,7 +51,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(load(path))
         for batch in sliced(it):
-            texts = [decoder(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
+            texts = [decoder(np.array(x or [], "<u4")).decode() for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
 
     return encoded.select(F.col(id_col).cast("long"), ids_col).mapInArrow(work, "id long, text string").withColumnRenamed("id", id_col)
@@ -61,7 +61,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text, in one pass and without a shuffle.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8. The
-    decoded text is put together from the ids of the text's chunks, a piece of a long text at a time. Nulls, rows
+    decoded text is put together from the ids, a piece of a long text at a time. Nulls, rows
     and columns as in encode.
     """
 
@@ -71,18 +71,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in sliced(it):
             rows: tuple[list, list, list] = ([], [], [])
             n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
-            for pieces in batches(batch.column(1).to_pylist()):
-                split = [bpe.split(t) for t, _ in pieces]
-                bpe.learn(split)
-                ids_of = bpe.chunks.young
-                new = decoder.cache.missing(set().union(*split))
-                decoder.cache.put(new, [decoder(ids_of[c]).encode() for c in new])
-                ids_get, text_get = ids_of.__getitem__, decoder.cache.young.__getitem__
-                for s, (_, last) in zip(split, pieces, strict=True):
-                    ids = b"".join(map(ids_get, s))
-                    text_digest.update((b" " if n and s else b"") + b" ".join(map(text_get, s)))
-                    ids_digest.update(ids)
-                    n += len(ids) // 4
+            for pieces in batches(batch.column(1).to_pylist(), ENCODE_CHARS):
+                for ids, (_, last) in zip(bpe.encode_pieces([t for t, _ in pieces]), pieces, strict=True):
+                    if len(ids):
+                        text_digest.update((b" " if n else b"") + decoder(ids))
+                        ids_digest.update(ids)
+                        n += len(ids)
                     if last:
                         rows[0].append(n)
                         rows[1].append(ids_digest.hexdigest())

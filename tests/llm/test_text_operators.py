@@ -195,6 +195,35 @@ def test_encoder_equals_the_library(library):
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[:200])] == [library_ids(library, t) for t in texts[:200]]
 
 
+def test_known_chunks_are_not_encoded_again(monkeypatch):
+    rng = random.Random(6)
+    encoder = bpe.WordBpe(tokenizer_path())
+    texts = [" ".join(f"{rng.choice(WORDS)[:4]}{i}" for i in range(k, k + 5000)) for k in range(0, 250_000, 5000)]
+    first = [list(encoder.encode([t])) for t in texts]
+    monkeypatch.setattr(bpe.WordBpe, "encode_chunks", lambda self, chunks: pytest.fail("a known chunk was encoded again"))
+    assert [list(encoder.encode([t])) for t in texts] == first
+
+
+def test_table_of_chunks(library, monkeypatch):
+    """Chunks of all lengths around those of the table's keys, with U+0000 and white space of several bytes, in small tables."""
+    rng = random.Random(8)
+    letters = ["a", "b", "\0", "é", "가", "\U0001f600", "\x85", "\u3000", "\xa0", "\x1c", "Z"]
+    words = ["".join(rng.choice(letters[: rng.choice([2, 3, 11])]) for _ in range(rng.randrange(1, 27))) for _ in range(1500)]
+    words += ["a" * n for n in range(1, 50)] + ["a" * n + "\0" for n in range(1, 30)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(30))) for _ in range(400)]
+    expected = [library_ids(library, t) for t in texts]
+    monkeypatch.setattr(bpe, "ENCODE_CHARS", 2000)
+    monkeypatch.setattr(bpe, "LOOKUP", 50)
+    for size in (0, 1, 300, 10**6):
+        encoder = bpe.WordBpe(tokenizer_path())
+        encoder.chunks.size = size
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == expected
+        assert size or encoder.chunks.n < 300
+    texts = ["a b " * 900 + "\u3000", "c" * 5000 + " d"]  # cut into pieces
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library_ids(library, t) for t in texts]
+
+
 def test_bpe_codec(docs, rows, empty, library):
     got = {r.doc_id: r for r in bpe_codec.round_trip(docs, tokenizer_path()).collect()}
     for i, t in rows:
