@@ -237,6 +237,17 @@ def test_bpe_codec(docs, rows, empty, library):
     assert bpe_codec.round_trip(empty, tokenizer_path()).collect() == []
 
 
+def test_decoding_of_whole_pieces(library):
+    """The decoded text is put together from the ids of a piece at once, with no text of a chunk kept."""
+    encoder = bpe.WordBpe(tokenizer_path())
+    decoder = bpe_codec.Decoder(encoder)
+    texts = ["", " ", "one two, three", "é\0 ß <|endoftext|>x ’s", "a" * 40 + "\u3000b", "x " * 3000]
+    for t, ids in zip(texts, encoder.encode_pieces(texts), strict=True):
+        assert ids.dtype == "<u4" and ids.tolist() == library_ids(library, t)
+        assert decoder(ids).decode() == library.decode(library_ids(library, t), skip_special_tokens=False)
+    assert not hasattr(decoder, "cache")
+
+
 def test_token_counts(docs, rows, empty, library):
     got = {r.doc_id: r for r in token_counts.count_tokens(docs, tokenizer_path()).collect()}
     for i, t in rows:
