@@ -28,6 +28,8 @@ from .common import BROADCAST_ROWS, computed_once, discard, join_small, material
 SHARED = 3
 #: Bits of a line number in the number of a set.
 LINE_BITS = 22
+#: Tokens for each shuffle partition up to which tokens are joined by hash, whose tables of distinct tokens cannot spill; more are sorted.
+HASHED_TOKENS = 4_000_000
 
 
 def _words(line: Column) -> Column:
@@ -38,8 +40,8 @@ def _with_tokens(lines: DataFrame, n: int, *columns: str) -> DataFrame:
     """(*columns, tokens) of the rows of lines(*columns, content) with n words or more: sorted hashes of the distinct shingles."""
     worded = computed_once(lines.select(*columns, _words(F.col("content")).alias("w")), F.size("w") >= n)
     hashed = worded.select(*columns, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    parts = [F.slice("h", F.lit(k + 1), F.size("h") - (n - 1)) for k in range(n)]
-    return hashed.select(*columns, F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*parts), lambda s: F.xxhash64(s)))).alias("tokens"))
+    shingles = F.transform(F.slice("h", F.lit(1), F.size("h") - (n - 1)), lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, n)]))
+    return hashed.select(*columns, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -79,8 +81,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a set that none of this size can match but an equal one is left out
     alone = F.col("n") * t.denominator < (F.col("n") + 1) * t.numerator
     sets = join_small(digests.where(~alone).select("gid", "doc", "line", "n", "prefix"), again.select("gid"), "gid", "left_anti")
-    likely = materialize(_likely(sets, t), "likely")
-    matched = likely.join(_matched(source, likely, n, t), "gid", "left_semi")
+    total = digests.agg(F.sum("n")).first()[0] or 0
+    likely = materialize(_likely(sets, t, total), "likely")
+    matched = likely.join(_matched(source, likely, n, t, total), "gid", "left_semi")
     gone = again.select("doc", "line").union(matched.select("doc", "line"))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed")).withColumnRenamed("doc", id_col)
 
@@ -94,12 +97,18 @@ def _numbered(digests: DataFrame) -> DataFrame:
     return materialize(ordered.withColumn("gid", F.monotonically_increasing_id()), "numbered")
 
 
-def _likely(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(doc, line, gid) of those of sets(gid, doc, line, n, prefix) that the first filter leaves."""
+def _hashed(tokens: DataFrame, total: int) -> DataFrame:
+    """tokens as the hashed side of a join, where total tokens, repeats too, leave it small in each partition."""
+    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tokens.hint("shuffle_hash") if total <= HASHED_TOKENS * partitions else tokens
+
+
+def _likely(sets: DataFrame, t: Fraction, total: int) -> DataFrame:
+    """(doc, line, gid) of those of sets(gid, doc, line, n, prefix) that the first filter leaves; total: tokens of all sets."""
     held = sets.select("n", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
     like = F.col("least") * t.denominator >= F.col("most") * t.numerator  # decides for two; of more, some are taken to be alike
     held = held.where((F.col("m") > 2) | ((F.col("m") == 2) & like)).select("token")
-    hits = sets.select("gid", F.explode("prefix").alias("token")).join(held, "token", "left_semi").groupBy("gid").agg(F.count("*").alias("hits"))
+    hits = sets.select("gid", F.explode("prefix").alias("token")).join(_hashed(held, total), "token", "left_semi").groupBy("gid").agg(F.count("*").alias("hits"))
     enough = F.col("hits") >= F.least(F.lit(SHARED), _least_common(F.col("n"), t))
     return sets.select("gid", "doc", "line", "n").join(hits, "gid").where(enough).select("doc", "line", "gid")
 
@@ -125,20 +134,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.where(common * (p + q) >= (F.col("na") + F.col("nb")) * p).select(F.col("a").alias("gid")).distinct()
 
 
-def _ranked(tokens: DataFrame, t: Fraction) -> DataFrame:
+def _ranked(tokens: DataFrame, t: Fraction, total: int) -> DataFrame:
     """(gid, n, bits, ranked) of the sets in tokens(gid, tokens) with enough tokens that others hold too; ranked: these as (df, token), rarest first."""
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))))
     held = tokens.select("gid", F.explode("tokens").alias("token"))
     counts = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = held.join(counts, "token").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    ranked = held.join(_hashed(counts, total), "token").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     sized = tokens.select("gid", F.size("tokens").alias("n"), parity.alias("bits"))
     return sized.join(ranked, "gid").where(F.size("ranked") >= _least_common(F.col("n"), t))
 
 
-def _matched(source: DataFrame, likely: DataFrame, n: int, t: Fraction) -> DataFrame:
+def _matched(source: DataFrame, likely: DataFrame, n: int, t: Fraction, total: int) -> DataFrame:
     """(gid) of the sets in likely(doc, line, gid) with an earlier set at the threshold t."""
     tokens = materialize(_with_tokens(join_small(_split(source), likely, ["doc", "line"], "inner"), n, "gid"), "tokens")
-    sets = materialize(_ranked(tokens, t), "ranked")
+    sets = materialize(_ranked(tokens, t, total), "ranked")
     discard(tokens)
 
     alone = F.col("n") - F.size("ranked")  # tokens that come first, as no other set holds them

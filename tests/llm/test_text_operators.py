@@ -162,6 +162,15 @@ def test_line_dedup_of_many_near_lines(spark):
     assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()} == expected and len(expected) > 100
 
 
+@pytest.mark.parametrize("most", [0, line_dedup.HASHED_TOKENS])
+def test_line_dedup_by_sorted_and_by_hashed_joins(spark, docs, rows, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "HASHED_TOKENS", most)
+    plans, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, tag: plans.append((tag, df._jdf.queryExecution().toString())) or write(df, tag))
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()} == brute_removed(rows)
+    assert {tag: "ShuffledHashJoin" in plan for tag, plan in plans if tag in ("likely", "ranked")} == {"likely": most > 0, "ranked": most > 0}
+
+
 def test_line_dedup_of_repeated_ids(spark):
     line = "one two three four five six seven"
     df = spark.createDataFrame([(1, f"a\n{line}"), (1, f"a\n{line}"), (1, "b"), (2, line), (2, line), (None, line)], "doc_id long, text string")
