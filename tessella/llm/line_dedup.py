@@ -4,9 +4,11 @@ A line's tokens are its word shingles; the set of them is its value. Two sets at
 prefixes, the first few tokens of each in any total order. Lines with equal sets are joined first; then two filters
 follow, each over all that the one before it left:
 
-1. The order is that of the hash. A prefix is two tokens longer than needed, so that two sets at the threshold share
-   at least three of its tokens; a set stays if three of its prefix tokens are also in the prefix of a set of like
-   size. This only counts, so that no pair is formed and no token is too frequent for it.
+1. The order is that of the hash, but tokens that begin with one of FIRST come before all others. A prefix is two
+   tokens longer than needed, so that two sets at the threshold share at least three of its tokens; a set stays if
+   three of its prefix tokens are also in the prefix of a set of like size. This only counts, so that no pair is formed
+   and no token is too frequent for it. Where the tokens that come first fill the prefix of a line, as they do in most
+   lines of 40 words or more, no others are made, and the set's size is only known to lie between two bounds.
 2. The order is that of rarity: tokens are counted over all sets that are left, exactly. A token that one set alone
    holds comes first and joins nothing, so that a set stays only if its share of other tokens reaches the threshold.
    Prefixes of this order are joined by length, position, and a parity bitmap that bounds the symmetric difference.
@@ -17,6 +19,7 @@ one that is the earliest on its prefix tokens, and only those that this leaves o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +35,63 @@ LINE_BITS = 22
 HASHED_TOKENS = 4_000_000
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}_]+"), "")
+#: First characters of a word that bring its token forward in the first filter: about two fifths of all words, and all of other scripts than Latin.
+FIRST = "bdfhjlnprtvxz02468" + "".join(chr(c) for c in range(0xC0, 0x100, 2))
+#: A character beyond the 256 for which a regular expression has a bitmap; without one, classes of listed characters are several times as fast.
+_WIDE = r"[\x{100}-\x{10ffff}]"
+
+
+def _listed(test: Callable[[str], bool]) -> str:
+    return "".join(f"\\x{c:02x}" for c in range(256) if test(chr(c)))
+
+
+def _plain(lines: DataFrame, n: int, *columns: str) -> DataFrame:
+    """(*columns, plain, words, wide) of the rows of lines(*columns, content) with n words or more: the lower-cased words with a blank between, their number, whether any character is _WIDE."""
+    # to find each word by a regular expression costs more than all else: these find punctuation only
+    gap = _listed(lambda c: not (c.isalnum() or c == "_"))
+    narrow, general = f"[{gap.replace(r'\x20', '')}][{gap}]*", r"[^ \p{L}\p{N}_][^\p{L}\p{N}_]*"
+    lower = lines.select(*columns, F.lower("content").alias("low"))
+    lower = lower.withColumn("wide", (F.octet_length("low") != F.length("low")) & F.col("low").rlike(_WIDE))
+    spaced = F.when(F.col("wide"), F.regexp_replace("low", general, " ")).otherwise(F.regexp_replace("low", narrow, " "))
+    spaced = lower.select(*columns, "wide", spaced.alias("spaced"))
+    once = F.when(F.contains("spaced", F.lit("  ")), F.regexp_replace("spaced", " +", " ")).otherwise(F.col("spaced"))
+    plain = spaced.select(*columns, "wide", F.trim(once).alias("plain"))
+    words = F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " ")))
+    return computed_once(plain.select(*columns, "wide", "plain", words.alias("words")), F.col("words") >= n)
+
+
+def _tokens_at(n: int, forward: bool) -> Column:
+    """Hashes of the distinct shingles in plain whose first character is in FIRST, or of all others: sorted."""
+    first = _listed(lambda c: c != " " and (c in FIRST) == forward)
+    shingle = lambda first, other: F.lit(f" (?=({first}{other}*{f' {other}+' * (n - 1)}))")
+    found = lambda pattern: F.regexp_extract_all(F.concat(F.lit(" "), "plain"), pattern, 1)
+    narrow = shingle(f"[{first}]", f"[{_listed(lambda c: c != ' ')}]")
+    general = shingle(f"[{first}{_WIDE}]" if forward else f"[{first}]", "[^ ]")
+    hashes = F.transform(F.when(F.col("wide"), found(general)).otherwise(found(narrow)), lambda x: F.xxhash64(x))
+    return F.sort_array(F.array_distinct(hashes))
+
+
+def _with_prefix(lines: DataFrame, n: int, t: Fraction, *columns: str) -> DataFrame:
+    """(*columns, key, check, least, most, prefix) of the rows of lines(*columns, content) with n words or more.
+
+    The set has least to most tokens; prefix: its first tokens in the order of the first filter. Lines of the same words
+    have the same key and check; so have all lines of a set that none but an equal one can match.
+    """
+    m = F.col("words") - (n - 1)
+    length = m - _least_common(m, t) + F.least(F.lit(SHARED), _least_common(m, t))  # enough, as the set has m tokens at most
+    lined = _plain(lines, n, *columns).withColumn("own", _tokens_at(n, True)).withColumn("length", length)
+    lined = lined.withColumn("full", (F.size("own") >= F.col("length")) & ~_alone(F.size("own"), t))
+    rest = F.when(F.col("full"), F.array().cast("array<bigint>")).otherwise(_tokens_at(n, False))
+    lined = lined.withColumn("tokens", F.concat("own", rest))
+    either = lambda f: F.when(F.col("full"), f("plain")).otherwise(f("tokens"))
+    prefix = F.transform(F.slice("tokens", F.lit(1), F.col("length")), lambda x: F.shiftrightunsigned(x, 16))  # 48 bits, as it only filters
+    most = F.when(F.col("full"), m).otherwise(F.size("tokens"))
+    return lined.select(*columns, either(F.xxhash64).alias("key"), either(F.hash).alias("check"), F.size("tokens").alias("least"), most.alias("most"), prefix.alias("prefix"))
 
 
 def _with_tokens(lines: DataFrame, n: int, *columns: str) -> DataFrame:
     """(*columns, tokens) of the rows of lines(*columns, content) with n words or more: sorted hashes of the distinct shingles."""
-    worded = computed_once(lines.select(*columns, _words(F.col("content")).alias("w")), F.size("w") >= n)
-    hashed = worded.select(*columns, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    hashed = _plain(lines, n, *columns).select(*columns, F.transform(F.split("plain", " "), lambda x: F.xxhash64(x)).alias("h"))
     shingles = F.transform(F.slice("h", F.lit(1), F.size("h") - (n - 1)), lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, n)]))
     return hashed.select(*columns, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
 
@@ -53,6 +105,11 @@ def _least_common(n: Column, t: Fraction) -> Column:
     return F.ceil(n * t.numerator / t.denominator).cast("int")
 
 
+def _alone(n: Column, t: Fraction) -> Column:
+    """Whether a set of n tokens has no set at the threshold t but an equal one."""
+    return n * t.denominator < (n + 1) * t.numerator
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, removed): of every document that loses lines, the sorted numbers (from 0) of those lines.
 
@@ -66,11 +123,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = Fraction(threshold).limit_denominator(1000)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     source = one_row_per_id(source, "doc", "text")
-    size = F.col("n")
-    digests = _with_tokens(_split(source), n, "doc", "line").withColumn("n", F.size("tokens"))
-    prefix = F.slice("tokens", F.lit(1), size - _least_common(size, t) + F.least(F.lit(SHARED), _least_common(size, t)))
-    prefix = F.transform(prefix, lambda x: F.shiftrightunsigned(x, 16))  # 48 bits, as it only filters
-    digests = digests.select("doc", "line", F.xxhash64("tokens").alias("key"), F.hash("tokens").alias("check"), "n", prefix.alias("prefix"))
+    digests = _with_prefix(_split(source), n, t, "doc", "line")
     digests = _numbered(materialize(digests, "lines"))
 
     same = ["key", "check"]
@@ -79,9 +132,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = digests.select("gid", "doc", "line", *same).join(firsts, same).where(F.col("gid") != F.col("first"))
     again = materialize(again.select("gid", "doc", "line"), "again")
     # a set that none of this size can match but an equal one is left out
-    alone = F.col("n") * t.denominator < (F.col("n") + 1) * t.numerator
-    sets = join_small(digests.where(~alone).select("gid", "doc", "line", "n", "prefix"), again.select("gid"), "gid", "left_anti")
-    total = digests.agg(F.sum("n")).first()[0] or 0
+    sets = join_small(digests.where(~_alone(F.col("least"), t)).select("gid", "doc", "line", "least", "most", "prefix"), again.select("gid"), "gid", "left_anti")
+    total = digests.agg(F.sum("most")).first()[0] or 0
     likely = materialize(_likely(sets, t, total), "likely")
     matched = likely.join(_matched(source, likely, n, t, total), "gid", "left_semi")
     gone = again.select("doc", "line").union(matched.select("doc", "line"))
@@ -104,13 +156,13 @@ def _hashed(tokens: DataFrame, total: int) -> DataFrame:
 
 
 def _likely(sets: DataFrame, t: Fraction, total: int) -> DataFrame:
-    """(doc, line, gid) of those of sets(gid, doc, line, n, prefix) that the first filter leaves; total: tokens of all sets."""
-    held = sets.select("n", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
-    like = F.col("least") * t.denominator >= F.col("most") * t.numerator  # decides for two; of more, some are taken to be alike
+    """(doc, line, gid) of those of sets(gid, doc, line, least, most, prefix) that the first filter leaves; total: tokens of all sets, at most."""
+    held = sets.select("least", "most", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.max("least").alias("least"), F.min("most").alias("most"))
+    like = F.col("most") * t.denominator >= F.col("least") * t.numerator  # whether two sets can be; of more, some are taken to be alike
     held = held.where((F.col("m") > 2) | ((F.col("m") == 2) & like)).select("token")
     hits = sets.select("gid", F.explode("prefix").alias("token")).join(_hashed(held, total), "token", "left_semi").groupBy("gid").agg(F.count("*").alias("hits"))
-    enough = F.col("hits") >= F.least(F.lit(SHARED), _least_common(F.col("n"), t))
-    return sets.select("gid", "doc", "line", "n").join(hits, "gid").where(enough).select("doc", "line", "gid")
+    enough = F.col("hits") >= F.least(F.lit(SHARED), _least_common(F.col("least"), t))
+    return sets.select("gid", "doc", "line", "least").join(hits, "gid").where(enough).select("doc", "line", "gid")
 
 
 def _candidate(a: str, b: str, t: Fraction) -> Column:

@@ -171,6 +171,52 @@ def test_line_dedup_by_sorted_and_by_hashed_joins(spark, docs, rows, monkeypatch
     assert {tag: "ShuffledHashJoin" in plan for tag, plan in plans if tag in ("likely", "ranked")} == {"likely": most > 0, "ranked": most > 0}
 
 
+def test_line_dedup_of_lines_that_few_tokens_decide(spark):
+    """Sets near the threshold, some of which make the tokens of all their words and some not; repeated shingles, other scripts, equal sets of different lines."""
+    rng = random.Random(9)
+    letters = "bdfhjlnprtvxz" + "aceikmoq" * 2 + "éèж中"
+    word = lambda: rng.choice(letters) + rng.choice(WORDS) + str(rng.randrange(30))
+    lines = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(5, 130))]
+        if rng.random() < 0.3:
+            base = base[: rng.randrange(5, 20)] * rng.randrange(2, 8)
+        for _ in range(6):
+            near = list(base)
+            if rng.random() < 0.5:  # words that come forward go first, so that what is left has few
+                near = [w for w in near if w[0] not in line_dedup.FIRST or rng.random() < 0.97]
+            for _ in range(rng.randrange(3)):
+                near[rng.randrange(len(near))] = word()
+            cut = rng.randrange(1 + len(near) // 9)
+            lines.append(rng.choice([" ", ", ", " - ", "  "]).join(near[cut:] if rng.random() < 0.5 else near[: len(near) - cut]))
+    lines += ["b " * k + "!" for k in (5, 6, 9, 50, 90)] + [" ".join(["ba", "ab"] * k) for k in (3, 4, 40)]
+    rng.shuffle(lines)
+    rows = [(i // 3, x) for i, x in enumerate(lines)]
+    rows = [(i, "\n".join(x for k, x in rows if k == i)) for i in range(len(lines) // 3 + 1)]
+    expected = brute_removed(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()} == expected and len(expected) > 40
+    made = line_dedup._with_prefix(df.select(F.explode(F.split("text", "\n")).alias("content")), 5, Fraction(4, 5)).select("least", "most").collect()
+    assert 50 < sum(r.least < r.most for r in made) < len(made) - 50
+
+
+def test_line_dedup_makes_few_tokens_of_long_lines(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(text(rng, 200),) for _ in range(50)], "content string")
+    made = line_dedup._with_prefix(df, 5, Fraction(4, 5)).collect()
+    assert all(r.least < 0.7 * r.most and r.most == 196 and len(r.prefix) == 42 for r in made)
+
+
+def test_line_dedup_words(spark):
+    """All characters apart and in a row, against the one expression that defines words."""
+    chars = [chr(c) for c in [*range(0x3000), 0xFEFF, 0xFF10, 0x1D7D8, 0x1F600, 0x20000] if c != 10]
+    lines = [f"a{c}b {c}{c} c{c}" for c in chars] + [f"a{x} {y}b  c" for x, y in zip(chars, chars[1:])] + ["", " ", "-", "a", " a - b ", "  -a"]
+    df = spark.createDataFrame([(x,) for x in lines], "content string")
+    defined = F.array_remove(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), "")
+    got = line_dedup._plain(df, 0, "content").select("plain", "words", F.array_join(defined, " ").alias("joined"), F.size(defined).alias("n")).collect()
+    assert len(got) == len(lines) and [(r.plain, r.words) for r in got] == [(r.joined, r.n) for r in got]
+
+
 def test_line_dedup_of_repeated_ids(spark):
     line = "one two three four five six seven"
     df = spark.createDataFrame([(1, f"a\n{line}"), (1, f"a\n{line}"), (1, "b"), (2, line), (2, line), (None, line)], "doc_id long, text string")
